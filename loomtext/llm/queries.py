@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, exact_dedup, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
