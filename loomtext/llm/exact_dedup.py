@@ -99,7 +99,7 @@ def copies(docs: DataFrame, fan_bits: int = FAN_BITS, range_rows: int = RANGE_RO
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     rows = with_ids(docs).filter(F.col("text").isNotNull())
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_rows))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // range_rows))
     flat = rows.select(F.spark_partition_id().cast("long").alias("run"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     levels = [scratch.table(flat.mapInArrow(_runs(ranges), _SCHEMA), "run")]
     runs = (levels[0].agg(F.max("run").alias("m")).first()["m"] or 0) + 1
