@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-SLOT_BITS, SIZES, SCALE, L2, ROUNDS, BLOCK = 15, (3, 4, 5), 12.0, 2e-3, 250, 0.5
+SLOT_BITS, SIZES, SCALE, L2, ROUNDS, BLOCK = 15, (3, 4, 5), 12.0, 3e-4, 500, 0.5
 _GOOD = """news daily-herald city-library weather garden-notes cooking-home museum university research-lab openmaps river-trust schoolhouse
 hospital gov-portal archive history-society science-review bookshop bike-repair travel-diary music-school theatre astronomy chess-club photography
 knitting python-docs linux-handbook database-guide math-forum parents-council village-hall fire-brigade train-times ferry-lines public-radio
@@ -37,10 +37,22 @@ _HEADS, _TAILS = ("www.", "", "m.", "blog."), (".example.com", ".example.org", "
 _BAD_PATHS = ("/free-casino-bonus", "/buy-cheap-pills-online", "/xxx/adult-video", "/win-free-prize?click=ads")
 
 
+def _names(n: int) -> list[str]:
+    """Invented harmless host names: two to four syllables."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    heads, vowels, ends = "b c d f g h k l m n p r s t v w th sh tr st ch wh br pl".split(), "a e i o u ea ou io".split(), ["", "n", "r", "s", "t", "nd", "th", "ng", "l", "st"]
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    return ["".join(pick(heads) + pick(vowels) + pick(ends) for _ in range(int(rng.integers(2, 5)))) for _ in range(n)]
+
+
 def labelled() -> list[tuple[str, int]]:
-    """The labelled URL table: (url, 1 if it is to be blocked)."""
-    rows = [(f"http://{_HEADS[(i + k) % 4]}{host}{_TAILS[(i + 2 * k) % 5]}{_PATHS[(3 * i + k) % 10]}", bad) for hosts, bad in ((_GOOD, 0), (_BAD, 1)) for i, host in enumerate(hosts) for k in range(2)]
-    return rows + [(f"http://{host}.example.com{path}", 1) for host, path in zip(_GOOD, _BAD_PATHS * 3)]
+    """The labelled URL table: (url, 1 if it is to be blocked).  Heads, tails and paths tell nothing of the class."""
+    rows = []
+    for hosts, bad in ((_GOOD + _names(120), 0), (_BAD * 2, 1)):
+        for i, host in enumerate(hosts):
+            for k, tail in enumerate(_TAILS):
+                rows.append((f"http://{_HEADS[(i + k) % 4]}{host}{tail}{_PATHS[(3 * i + 7 * k) % 10]}", bad))
+    return rows + [(f"http://{host}{tail}{path}", 1) for host in _GOOD[:40] for tail, path in zip(_TAILS, _BAD_PATHS)]
 
 
 def _slots(column: pa.Array, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +84,20 @@ def model() -> tuple[np.ndarray, float]:
     """(weights, intercept)."""
     rows = labelled()
     y = np.array([bad for _, bad in rows], float)
-    x = np.zeros((len(rows), 2 << SLOT_BITS), np.float32)
+    slots, owner, value = [], [], []
     for salt, part in enumerate(_parts(pa.array([u for u, _ in rows])), 1):
         s, r = _slots(part, salt)
-        np.add.at(x, (r, s), (SCALE / np.bincount(r, minlength=len(rows))[r]).astype(np.float32))
-    used = np.flatnonzero(x.any(axis=0))
-    x = x[:, used]
+        slots.append(s)
+        owner.append(r)
+        value.append(SCALE / np.bincount(r, minlength=len(rows))[r])
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    used, slot = np.unique(np.concatenate(slots), return_inverse=True)
     w, v, bias = np.zeros(len(used)), np.zeros(len(used)), 0.0
     for _ in range(ROUNDS):
-        e = 1 / (1 + np.exp(-(x @ w + bias))) - y
-        v = 0.9 * v - 2.0 * (x.T @ e / len(y) + L2 * w)
+        e = (1 / (1 + np.exp(-(np.bincount(owner, value * w[slot], len(y)) + bias))) - y) / len(y)
+        v = 0.9 * v - 2.0 * (np.bincount(slot, value * e[owner], len(used)) + L2 * w)
         w += v
-        bias -= 0.5 * e.mean()
+        bias -= 0.5 * e.sum()
     full = np.zeros(2 << SLOT_BITS)
     full[used] = w
     return full, float(bias)
