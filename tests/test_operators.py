@@ -1,0 +1,303 @@
+"""Operators against brute force, hand-computed cases and planted structure."""
+
+from __future__ import annotations
+
+import itertools
+import json
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loomtext.functions import prompts, responses
+from loomtext.operators import embedding, gmm, graph, kmeans, kmedoids, knn, kselect, labelling, labelsets, metrics, profile
+from loomtext.operators import providers as P
+from loomtext.operators import representatives as R
+from loomtext.plans import cache, checks, pipelines
+from loomtext.sources import config, readers, sinks
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(0)
+    centres = np.eye(4)[:3] * 5
+    x = np.concatenate([c + rng.normal(0, 0.2, (20, 4)) for c in centres])
+    return spark.createDataFrame([(i, [float(a) for a in r], i // 20) for i, r in enumerate(x)], "id long, v array<double>, cluster_id int").cache()
+
+
+def pairs(spark, truth, pred):
+    return spark.createDataFrame(list(zip(truth, pred)), "truth string, pred string")
+
+
+def test_scores_of_perfect_and_renamed(spark):
+    t = list("aaabbbcc")
+    assert metrics.scores(pairs(spark, t, [x.upper() for x in t])) == {"ACC": 1.0, "NMI": 1.0, "ARI": 1.0}
+
+
+def test_ari_by_pair_counting(spark):
+    t, p = list("aabbccca"), list("xxyyyzzx")
+    n11 = n10 = n01 = n00 = 0
+    for i, j in itertools.combinations(range(len(t)), 2):
+        a, b = t[i] == t[j], p[i] == p[j]
+        n11, n10, n01, n00 = n11 + (a and b), n10 + (a and not b), n01 + (b and not a), n00 + (not a and not b)
+    want = 2 * (n11 * n00 - n10 * n01) / ((n11 + n10) * (n10 + n00) + (n11 + n01) * (n01 + n00))
+    got = metrics.ari(metrics.contingency(pairs(spark, t, p))).first()["ari"]
+    assert got == pytest.approx(want)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 6), st.integers(0, 10_000))
+def test_hungarian_is_optimal(n, seed):
+    cost = np.random.default_rng(seed).integers(0, 20, (n, n)).astype(float)
+    to = metrics.hungarian(cost)
+    assert sorted(to) == list(range(n))
+    assert cost[np.arange(n), to].sum() == min(cost[np.arange(n), list(p)].sum() for p in itertools.permutations(range(n)))
+
+
+def test_silhouettes_by_brute_force(spark, blobs):
+    rows = blobs.toPandas()
+    x, c = np.stack(rows["v"]), rows["cluster_id"].to_numpy()
+    for metric, got in (("euclidean", metrics.silhouette_euclidean(blobs)), ("cosine", metrics.silhouette_cosine(blobs, 4))):
+        d = kmedoids.distances(x, x, metric)
+        s = []
+        for i in range(len(x)):
+            own = (c == c[i]) & (np.arange(len(x)) != i)
+            a, b = d[i, own].mean(), min(d[i, c == k].mean() for k in set(c) - {c[i]})
+            s.append((b - a) / max(a, b))
+        assert got.first()["silhouette"] == pytest.approx(np.mean(s), abs=1e-6)
+    one = blobs.withColumn("cluster_id", F.lit(0))
+    assert metrics.silhouette_cosine(one, 4).first()["silhouette"] == -1.0
+
+
+def test_knn_grid_equals_held(spark, blobs):
+    a = knn.knn_graph(blobs, 5, 0.2).toPandas().sort_values(["src", "dst"])
+    b = knn.knn_graph(blobs, 5, 0.2, held=1, block=17).toPandas().sort_values(["src", "dst"])
+    assert a[["src", "dst"]].values.tolist() == b[["src", "dst"]].values.tolist()
+    rows = blobs.toPandas()
+    x = np.stack(rows["v"])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 12)
+    np.fill_diagonal(s, -2)
+    want = [(i, int(j)) for i in range(60) for j in sorted(range(60), key=lambda j: (-s[i, j], j))[:5] if s[i, j] >= 0.2]
+    assert sorted(want) == sorted(map(tuple, a[["src", "dst"]].values.tolist()))
+
+
+def test_knn_of_nothing_and_ties(spark):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    assert knn.knn_graph(none).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(4)] + [(9, None)], "id long, v array<double>")
+    got = knn.knn_graph(same, 2).toPandas().sort_values(["src", "dst"]).values.tolist()
+    assert [r[:2] for r in got] == [[0, 1], [0, 2], [1, 0], [1, 2], [2, 0], [2, 1], [3, 0], [3, 1]]
+
+
+def test_communities_of_two_cliques(spark):
+    edges = [(a, b, 1.0) for base in (0, 5) for a, b in itertools.combinations(range(base, base + 5), 2)] + [(4, 5, 0.5)]
+    nodes, e = spark.range(11), spark.createDataFrame(edges, "src long, dst long, weight double")
+    for found in (graph.local_moving(nodes, e), graph.local_moving(nodes, e, local_edges=0)):
+        got = {r["id"]: r["community"] for r in found.collect()}
+        assert len({got[i] for i in range(5)}) == len({got[i] for i in range(5, 10)}) == 1
+        assert len(set(got.values())) == 3 and got[10] not in (got[0], got[5])
+
+
+def test_kmedoids_finds_blobs_both_ways(spark, blobs):
+    for kw in ({}, {"local_rows": 1}):
+        f = kmedoids.fit(blobs, 3, "euclidean", seed=1, **kw)
+        j = blobs.select("id", F.col("cluster_id").cast("string").alias("truth")).join(f.assignments.select("id", F.col("cluster_id").cast("string").alias("pred")), "id")
+        assert kw or metrics.scores(j)["ARI"] == 1.0
+        assert set(f.medoids) <= set(range(60)) and len(set(f.medoids)) == 3
+    assert kmedoids.fit(blobs, 100).inertia == 0.0
+
+
+def test_kmedoids_ties_and_zero_distances():
+    x = np.ones((6, 2))
+    labels, medoids, inertia, _ = kmedoids.fit_arrays(x, 2)
+    assert inertia == pytest.approx(0) and len(set(medoids)) == 2 and set(labels) == {0}
+
+
+@pytest.mark.parametrize("kind", gmm.KINDS)
+def test_mixture_finds_blobs(spark, blobs, kind):
+    m = gmm.fit(blobs, 3, kind, seed=3, n_init=3, max_iter=25)
+    got = gmm.predict(blobs, m).join(blobs.select("id", F.col("cluster_id").cast("string").alias("truth")), "id").select("truth", F.col("cluster_id").cast("string").alias("pred"))
+    assert metrics.scores(got)["ARI"] == 1.0
+    assert m.weights.sum() == pytest.approx(1) and math.isfinite(m.bic())
+
+
+def test_kmeans_and_k(spark, blobs):
+    assert kmeans.select_k(blobs, 2, 5, n_init=2) == 3
+    f = kmeans.fit(blobs, 3, n_init=2)
+    assert f.silhouette > 0.9
+    assert kselect.k_by_silhouette(blobs, 2, 6) in (2, 3)
+    assert kselect.k_by_calinski(blobs, 2, 5) == 3
+
+
+@pytest.mark.parametrize("ks,values", [([2, 3, 4, 5, 6], [100.0, 40, 20, 18, 17]), ([2, 3], [5.0, 1]), ([2, 3, 4], [7.0, 7, 7]), ([1, 2, 3, 4], [1.0, 2, 3, 4])])
+def test_elbow_forms_agree(spark, ks, values):
+    df = spark.createDataFrame([(k, float(v)) for k, v in zip(ks, values)], "k int, value double")
+    assert kselect.elbow(df).first()["k"] == kselect.find_elbow(ks, values)
+
+
+def test_representative_order_is_explicit(spark):
+    assigned = spark.createDataFrame([(0, 2), (1, 2), (2, 0), (3, 1)], "id long, cluster_id int")
+    reps = R.in_id_order(spark.createDataFrame([(2, 1), (0, 2), (1, 3)], "cluster_id int, id long"))
+    named = spark.createDataFrame([(0, "two"), (1, "zero")], "rep_order int, label string")
+    got = {r["id"]: r["label"] for r in R.propagate_ordered(assigned, reps, named).collect()}
+    assert got == {0: "two", 1: "two", 2: "zero", 3: "Unsuccessful"}
+
+
+def test_equal_texts_keep_their_own_labels(spark):
+    docs = spark.createDataFrame([(0, "same", "a"), (1, "same", "b"), (2, "x", "a")], "doc_id long, input string, label string")
+    labelled = spark.createDataFrame([(0, "p"), (1, "q"), (2, "p")], "doc_id long, label string")
+    got = pipelines.evaluate(docs, labelled)
+    assert (got["ACC"], got["n_unmatched"]) == (1.0, 0)
+    assert pipelines.evaluate(docs, labelled.filter("doc_id <> 0"))["n_unmatched"] == 1
+
+
+def test_strict_and_tolerant_readers(spark, tmp_path):
+    d = tmp_path / "data" / "one"
+    d.mkdir(parents=True)
+    (tmp_path / "data" / "empty").mkdir()
+    (d / "small.jsonl").write_text('{"input": "a", "label": "x"}\n\n{bad\n{"input": "b"}\n{"label": "y"}\n')
+    (d / "large.jsonl").write_text('{"input": "a", "label": "x"}\n{"input": "b", "label": "z"}\n')
+    root = str(tmp_path / "data")
+    assert readers.find_folders(spark, root) == ["empty", "one"] and readers.find_datasets(spark, root) == ["one"]
+    good = readers.load_tolerant(spark, f"{d}/small.jsonl").orderBy("line_no").collect()
+    assert [(r["input"], r["label"], r["line_no"]) for r in good] == [("a", "x", 1), ("b", "<MISSING>", 4), ("", "y", 5)]
+    assert [r["line_no"] for r in readers.malformed_lines(spark, f"{d}/small.jsonl").collect()] == [3]
+    assert [r["doc_id"] for r in readers.load_split(spark, root, "one", "large").orderBy("doc_id").collect()] == [0, 1]
+    with pytest.raises(Exception):
+        readers.load_strict(spark, f"{d}/small.jsonl").collect()
+    found = profile.analyze_all(spark, root, str(tmp_path / "out"))
+    assert found[0]["summary"]["labels_shared"] == 1 and found[0]["summary"]["labels_only_in_large"] == ["z"]
+    assert json.loads((tmp_path / "out" / "one_stats.json").read_text()) == json.loads(json.dumps(found[0]))
+
+
+def test_profile_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, input string, label string")
+    assert profile.analyze_split(none) == {"n_samples": 0, "n_labels": 0}
+
+
+def test_diversity_by_hand(spark):
+    c = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "label string, n long")
+    assert profile.diversity(c).first().asDict() == {"entropy": 1.5, "gini": 0.625}
+
+
+@pytest.mark.parametrize("raw,want", [('```json\n{"labels": ["a", " b "]}\n```', ["a", "b"]), ("['a', 'b']", ["a", "b"]), ('Sure! {"x": ["a"]} ok', ["a"]), ("garbage", []), (None, []), ("", []), ("[1, 2]", [])])
+def test_parse_labels(raw, want):
+    assert responses.parse_labels(raw) == want
+
+
+def test_batch_and_single_answers():
+    labels = ["alarm", "music", "weather report"]
+    assert responses.batch_answers('{"1": "ALARM", "2": "weather", "9": "music", "0": "music", "3": "nothing"}', 3, labels) == {0: "alarm", 1: "weather report"}
+    assert responses.single_answer('{"label": "music"}', labels) == "music"
+    assert responses.single_answer("I think alarm.", labels) == "alarm"
+    assert responses.single_answer("?", labels) == responses.FAILED
+    assert responses.parse_merged('{"a": ["x"], "b": ["y"]}') == ["x", "y"]
+    assert responses.loads("__import__('os').system('true')") is None
+
+
+def test_label_operators(spark):
+    docs = spark.createDataFrame([(i, t, "l") for i, t in enumerate(["red apple pie", "green apple tart", "fast red car", "slow blue car", ""])], "doc_id long, input string, label string")
+    seq, par = labelling.discover_labels(docs, size=2), labelling.discover_labels(docs, size=2, sequential=False)
+    assert seq and par and len(set(seq)) == len(seq)
+    assert len(labelling.consolidate([f"label{i}" for i in range(30)], 7, P.OfflineProvider())) == 7
+    assert len(labelling.iterative_merge([f"label{i}" for i in range(30)], 7, P.OfflineProvider(), size=10)) <= 10
+    got = labelling.classify(docs, ["apple", "car"], size=2, shuffle=True).collect()
+    assert {r["doc_id"]: r["label"] for r in got if r["doc_id"] < 4} == {0: "apple", 1: "apple", 2: "car", 3: "car"}
+    each = labelling.label_each(docs, size=3)
+    assert each.count() == 5
+    assert labelling.trim_labels(["car", "cars", "apple"], 2) == ["car", "apple"]
+
+
+def test_failing_provider(spark):
+    class Mute:
+        def chat(self, prompt, max_tokens=None):
+            return None
+
+    docs = spark.createDataFrame([(0, "a b c", "l")], "doc_id long, input string, label string")
+    assert labelling.classify(docs, ["x"], Mute).first()["label"] == R.UNSUCCESSFUL
+    assert labelling.label_each(docs, Mute).first()["label"] == R.UNLABELLED
+    assert labelling.merge_labels(["a", "b"], Mute(), 1) == ["a", "b"]
+
+
+def test_chunks_keep_order(spark):
+    docs = spark.range(101).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("input"))
+    got = labelsets.chunks(docs, 10).orderBy("chunk_id").collect()
+    assert [list(r["ids"]) for r in got] == [list(range(i, min(i + 10, 101))) for i in range(0, 101, 10)]
+
+
+def test_caches(spark, tmp_path):
+    c = cache.LabelCache(spark, str(tmp_path / "labels"))
+    assert c.load("d", "small") is None and c.describe() == "no cached labels"
+    c.save("d", "small", ["b", "a", "b"])
+    c.save("d", "small", ["x", "y", "z", "w"])
+    assert c.load("d", "small") == ["x", "y", "z", "w"] and c.load("d", "small", 2) == ["b", "a"]
+    assert c.best("d", "small", 3) == 2 and c.has("d", "small", 4) and not c.has("d", "large")
+    runs = []
+    s = cache.Stages(spark, str(tmp_path / "stages"))
+    for k in (1, 1, 2):
+        s.get("t", lambda: runs.append(k) or spark.range(k), k=k)
+    assert runs == [1, 2]
+    log = cache.BatchLog(spark, str(tmp_path / "log"))
+    q = spark.createDataFrame([(i, prompts.name_group([f"text {i}"])) for i in range(4)], "request_id long, prompt string")
+    assert log.run(q.filter("request_id < 2"), P.ask).count() == 2
+    assert log.todo(q).count() == 2 and log.run(q, P.ask).count() == 4
+
+
+def test_pca_is_centred_and_ordered(blobs):
+    scored, share = embedding.pca(blobs, 3)
+    x = np.stack(scored.toPandas()["v"])
+    assert np.abs(x.mean(axis=0)).max() < 1e-8 and share == sorted(share, reverse=True)
+    raw = np.stack(blobs.toPandas()["v"])
+    s = np.linalg.svd(raw - raw.mean(axis=0), compute_uv=False)
+    assert np.allclose(np.sort((x**2).sum(axis=0)), np.sort(s[:3] ** 2), rtol=1e-6)
+
+
+def test_tsne_keeps_blobs_apart(blobs):
+    rows = blobs.orderBy("id").toPandas()
+    y = embedding.tsne_arrays(np.stack(rows["v"]), n_iter=300, perplexity=10)
+    c = np.array([y[i * 20 : i * 20 + 20].mean(axis=0) for i in range(3)])
+    spread = max(np.linalg.norm(y[i * 20 : i * 20 + 20] - c[i], axis=1).mean() for i in range(3))
+    assert min(np.linalg.norm(c[a] - c[b]) for a, b in ((0, 1), (0, 2), (1, 2))) > spread
+
+
+def test_settings(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("K0=12\n# no\nLLM_FORCE_JSON=yes\n")
+    monkeypatch.setenv("K_MAX", "9")
+    s = config.load(env_file=str(tmp_path / ".env"))
+    assert (s.k0, s.k_max, s.llm_force_json, s.seed) == (12, 9, True, 42)
+
+
+def test_provider_checks():
+    assert checks.verdict(checks.probe()) == "good"
+
+
+def test_sinks(spark, tmp_path):
+    labelled = spark.createDataFrame([(1, "b", "x"), (0, "a", "x"), (2, "c", "y")], "doc_id long, input string, label string")
+    sinks.write_classifications(labelled, str(tmp_path / "c"))
+    assert {r["label"]: r["texts"] for r in spark.read.json(str(tmp_path / "c")).collect()} == {"x": ["a", "b"], "y": ["c"]}
+    sinks.write_object(spark, str(tmp_path / "classifications.json"), {"x": ["a"], "y": ["b", "c"]})
+    assert readers.load_predictions(spark, str(tmp_path)).count() == 3
+
+
+def test_streamed_scores_equal_batch(spark, blobs, tmp_path):
+    from loomtext.streaming import scoring
+
+    blobs.select("id", "v").write.parquet(str(tmp_path / "in"))
+    medoids = blobs.filter("id % 20 = 0").select("cluster_id", F.col("v").alias("m"))
+    labels = spark.createDataFrame([(0, "zero"), (1, "one")], "cluster_id int, label string")
+    stream = spark.readStream.schema("id long, v array<double>").parquet(str(tmp_path / "in"))
+    scoring.score_stream(stream, medoids, labels, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("id", "label").toPandas().sort_values("id")["label"].tolist()
+    want = scoring.score_batch(blobs, medoids, labels).select("id", "label").toPandas().sort_values("id")["label"].tolist()
+    assert got == want == ["zero"] * 20 + ["one"] * 20 + ["Unsuccessful"] * 20
+
+
+def test_histogram(spark):
+    sizes = spark.createDataFrame([(str(i), n) for i, n in enumerate([1, 1, 5, 11])], "label string, n long")
+    got = {r["bin"]: r["n"] for r in embedding.histogram(sizes, 5).collect()}
+    assert got == {0: 2, 2: 1, 4: 1}
