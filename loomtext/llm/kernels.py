@@ -124,21 +124,28 @@ def starts_with_room(off: np.ndarray, k: int) -> np.ndarray:
 
 
 def window_minima(g: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the minimum of each window of ``w`` hashes.
+    """Positions of the minimum of each window of ``w`` hashes, without repetition, ascending.
 
     ``ok`` masks the positions at which w hashes of one document begin.  Equal hashes: the rightmost wins.
-    Returned without repetition, ascending.
     """
+    return chosen_minima(g, ok, w)[0]
+
+
+def chosen_minima(g: np.ndarray, ok: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of window minima, where the first window that chooses each begins)."""
     m = len(g) - w + 1
     if m <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     best, at = g[:m].copy(), np.zeros(m, np.int32)
     for j in range(1, w):
         less = g[j : j + m] <= best
         np.copyto(best, g[j : j + m], where=less)
         np.copyto(at, j, where=less)
     keep = np.flatnonzero(ok[:m])
-    return np.unique(keep + at[keep])
+    at = keep + at[keep]  # ascending: a later window never chooses an earlier position
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    return at[new], keep[new]
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -146,3 +153,24 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     off = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
+
+
+def scatter(key: np.ndarray, parts: int, columns: list[tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
+    """Rows (part, c0[], c1[], ...) that hold the entries of each part; ``key`` is a mixed hash of each entry.
+
+    A shuffle then moves a few arrays in place of a row for each entry.
+    """
+    place = (((key >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    count = np.bincount(place, minlength=parts)
+    used = np.flatnonzero(count)
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[lists(c[order], count[used], t) for c, t in columns]], ["part", *[f"c{i}" for i in range(len(columns))]])
+
+
+def gather(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
+    """All entries of a partition of scattered rows, a column each."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for b in batches:
+        for have, c in zip(found, b.columns[1:]):
+            have.append(c.flatten().to_numpy())
+    return [np.concatenate(x) for x in found]

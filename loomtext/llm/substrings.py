@@ -7,15 +7,17 @@ in whichever documents.  The result is every document's maximal runs of repeated
    node of a document to its next, both included, are a token k-mer of varying k: an edge.  As
    ``k + 2 w - 1 <= least``, every common run of ``least`` words holds a whole edge in common (two windows that agree choose
    the same k-gram), so this sparse graph misses nothing; it is a tenth the size of one with an edge a word.
-2. Edges that occur once can't be part of a repeat and go.
-3. Compaction.  Where one repeated edge goes in and one out, they are joined; pointer doubling with Spark joins gives each
-   edge its path and place in it.
-4. Coordinates.  A document's successive edges of a path are an occurrence of it.  If all occurrences of a path are of
-   the whole path, its words are the same at all these coordinates, and every run inside is repeated: nothing more need be
-   read.  Elsewhere (at the ends of paths, and in paths that occur in part) the texts at the coordinates are
-   read again, all runs of ``least`` words that hold a repeated edge but aren't inside a whole path are hashed, and
+2. Edges that occur once can't be part of a repeat.  A run to be found can't hold one (but at its margins, where an edge
+   may hang on words outside), so a document is left with regions between them, and regions shorter than ``least`` go.
+3. Compaction.  Successive repeated edges of one multiplicity are a path; where a join of the paths' contents finds as many
+   equal paths as each of its edges has occurrences, the path does not branch: all occurrences of its edges are in it.
+4. Coordinates.  The words of such a path are the same at all its coordinates, so every run inside is repeated, and
+   nothing more need be read.  The rest of the regions (the ends of paths, and paths that branch) is verified: the
+   texts at the coordinates are read again, every run of ``least`` words that isn't inside one such path is hashed, and
    those that occur twice count.  Equal runs hold equal edges, so both are found on the same side of this division.
 
+Between the steps, entries travel as packed arrays, a few rows for each task.
+
 Cases: texts of fewer than ``least`` words (null and empty ones, too) have no repeats; rows with a null id are left
 out; repeated rows (one id, one text) are one document; several texts of one id are several; a run repeated
 inside one document counts; overlapping repeats become one span; other columns are ignored.
@@ -34,149 +36,188 @@ from . import kernels as K
 from .runtime import Scratch, maybe_broadcast, with_ids
 
 LEAST, GRAM, WINDOW = 50, 10, 20
+#: Documents whose edges (or runs) meet in one task, on average.
+PART_DOCS = 4_000
+LONG, INT, SHORT = pa.int64(), pa.int32(), pa.int16()
 
 
-def _nodes(words: K.Words, h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word positions of the nodes, their k-gram hashes, their document numbers) of a chunk."""
-    g = K.grams(h, k)
-    at = K.window_minima(g, K.starts_with_room(words.off, k + w - 1), w)
-    return at, g[at], np.searchsorted(words.off, at, "right") - 1
-
-
-def _edge_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words from ``start`` to ``end`` (both arrays), by prefix sums."""
+def hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the items from ``start`` to ``end`` (both arrays) of the hashed sequence ``h``, by prefix sums."""
     up, down = K.powers(len(h) + 1)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[:-1], out=total[1:])
     return K.mix(K.mix((total[end] - total[start]) * down[start]) + (end - start).astype(np.uint64))
 
 
-def _edges(k: int, w: int):
-    """mapInArrow body: (row, doc_id, text) to (row, doc_id, n_words, at[], next[], u[], v[], edge[]) for rows with an edge."""
+def doc_key(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return K.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
+
+
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Mask of sorted entries that differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _sizes(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(np.flatnonzero(first), n))
+
+
+def _edges(k: int, w: int, parts: int):
+    """mapInArrow body: (doc_id, row, text) to edges, scattered by content.
+
+    Columns: edge, doc_id, row, at (first word), gap (to the next node), back and ahead: a run of words that begins more
+    than ``back`` before ``at`` surely holds the edge before this one in all its copies, and one that ends more
+    than ``ahead`` after this edge's end the next one.  (An edge at the margin of a run may owe its nodes to words outside; it is
+    the windows inside the run, from the one that first chooses the second node and the one before it, that make it sure.)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, raw, off in K.chunks(b.column(2)):
+            ids, rows, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
+            for lo, _, raw, off in K.chunks(b.column(2)):
                 words = K.Words(raw, off)
                 h = words.hashes()
-                at, node, doc = _nodes(words, h, k, w)
-                rows, n = np.unique(doc, return_counts=True)
-                if not len(rows):
+                at, since = K.chosen_minima(K.grams(h, k), K.starts_with_room(words.off, k + w - 1), w)
+                if len(at) < 2:
+                    continue
+                doc = np.searchsorted(words.off, at, "right") - 1
+                i = np.flatnonzero(doc[1:] == doc[:-1])
+                if not len(i):
                     continue
-                first = np.ones(len(at), bool)
-                first[np.cumsum(n) - 1] = False
-                first = np.flatnonzero(first)
-                n -= 1
-                edge = _edge_hashes(h, at[first], at[first + 1] + k)
-                pos = (at - words.off[doc]).astype(np.int32)
-                node = node.view(np.int64)
-                take = pa.array(rows + lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(words.count[rows].astype(np.int32)), K.lists(pos[first], n, pa.int32()), K.lists(pos[first + 1], n, pa.int32()), K.lists(node[first], n, pa.int64()), K.lists(node[first + 1], n, pa.int64()), K.lists(edge.view(np.int64), n, pa.int64())], ["row", "doc_id", "n_words", "at", "next", "u", "v", "edge"])
+                first, last = _fresh(doc[i]), np.append(_fresh(doc[i])[1:], True)
+                pos, gap = at[i] - words.off[doc[i]], at[i + 1] - at[i]
+                end = at[i + 1] + k
+                back = np.where(first, pos, at[i] - since[i])
+                ahead = np.where(last, words.off[doc[i] + 1] - end, since[np.minimum(i + 2, len(at) - 1)] + w + k - 2 - end)
+                out.append((hashes(h, at[i], end).view(np.int64), ids[doc[i] + lo], rows[doc[i] + lo], pos, gap, back, ahead))
+            if out:
+                c = [np.concatenate(x) for x in zip(*out)]
+                yield K.scatter(c[0].view(np.uint64), parts, [(c[0], LONG), (c[1], LONG), (c[2], INT), (c[3].astype(np.int32), INT), *[(x.astype(np.int16), SHORT) for x in c[4:]]])
 
     return run
 
 
-def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(edge, path, place, size): the nonbranching path of each edge, its place there and the path's number of edges.
+_EDGES = "part int, c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>, c4 array<short>, c5 array<short>, c6 array<short>"
 
-    ``edges``: (edge, u, v), distinct.  On a cycle the place is -1: it has no first edge.
-    """
-    into = edges.groupBy("v").agg(F.count("*").alias("n_in"), F.min("edge").alias("before"))
-    out = edges.groupBy("u").agg(F.count("*").alias("n_out"))
-    through = into.filter("n_in = 1").join(out.filter("n_out = 1"), F.col("u") == F.col("v")).select(F.col("u"), "before")
-    state = scratch.table(edges.join(through, "u", "left").select("edge", F.coalesce("before", "edge").alias("to"), F.when(F.col("before").isNull() | (F.col("before") == F.col("edge")), 0).otherwise(1).cast("long").alias("dist"), F.least("edge", F.coalesce("before", "edge")).alias("low"), F.col("before").isNull().alias("head")), "state")
-    heads = state.filter("head").select("edge", F.col("edge").alias("path"), F.lit(0).cast("long").alias("place"))
-    done, moving, before = [heads], scratch.table(state.filter("NOT head").select("edge", "to", "dist", "low"), "moving"), -1
-    known = scratch.table(heads, "known")
-    left = moving.count()
-    while left:
-        ended = moving.join(known.select(F.col("edge").alias("to"), "path", F.col("place").alias("gone")), "to")
-        fresh = scratch.table(ended.select("edge", "path", (F.col("gone") + F.col("dist")).alias("place")), "fresh")
-        rest = moving.join(fresh.select("edge"), "edge", "left_anti")
-        hop = moving.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("more"), F.col("low").alias("low2"))
-        after = scratch.table(rest.join(hop, "to").select("edge", F.col("to2").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("lower")), "moving")
-        done.append(fresh)
-        now = after.count()
-        if now == left and not after.filter("lower").limit(1).count():
-            done.append(after.select("edge", F.col("low").alias("path"), F.lit(-1).cast("long").alias("place")))
-            break
-        known, moving, left = scratch.table(known.unionByName(fresh), "known"), after.drop("lower"), now
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    found = scratch.table(found, "paths")
-    size = found.groupBy("path").agg(F.count("*").alias("size"))
-    return found.join(size, "path")
-
-
-def _regions(least: int):
-    """mapInArrow body: a row's runs of whole and other edges to what is repeated for certain, and what to read.
-
-    In: (row, doc_id, n_words, list of struct(pos, end, whole, run)) with ``pos`` ascending.  Out: (row, doc_id, sure
-    starts and ends, read starts and ends): word spans; of "read" every run of ``least`` words is to be hashed that
-    isn't inside one "sure" span.
+
+def _repeated(parts: int):
+    """mapInArrow body: edges by content to those that occur twice, with their number, scattered by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = K.gather(batches, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16])
+        order = np.lexsort((c[3], c[2], c[1], c[0]))
+        c = [x[order] for x in c]
+        one = _fresh(*c[:4])
+        c = [x[one] for x in c]
+        n = _sizes(_fresh(c[0]), len(c[0]))
+        n = np.repeat(n, n)
+        many = n > 1
+        if many.any():
+            c = [x[many] for x in c]
+            yield K.scatter(doc_key(c[1], c[2]), parts, [(x, t) for x, t in zip(c, (LONG, LONG, INT, INT, SHORT, SHORT, SHORT))] + [(n[many].astype(np.int32), INT)])
+
+    return run
+
+
+def _paths(k: int, least: int):
+    """mapInArrow body: repeated edges by document to its regions (hash null) and its paths of ``least`` words or more.
+
+    Out: (hash, n, doc_id, row, a, z), where a and z bound words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row, doc, n, spans in zip(*(c.to_pylist() for c in b.columns)):
-                sure, read = [], []
-                for s in sorted(spans, key=lambda s: s["pos"]):
-                    if s["whole"]:
-                        sure.append((s["pos"], s["end"]))
-                    # a run of words that holds one of these edges begins and ends at most this far from it
-                    lo, hi = max(0, s["first_end"] - least), min(n, s["last_pos"] + least)
-                    if read and lo <= read[-1][1]:
-                        read[-1][1] = max(read[-1][1], hi)
-                    else:
-                        read.append([lo, hi])
-                out.append((row, doc, [s[0] for s in sure], [s[1] for s in sure], [r[0] for r in read], [r[1] for r in read]))
-            if out:
-                cols = list(zip(*out))
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, ints) for c in cols[2:]]], ["row", "doc_id", "sure_at", "sure_to", "read_at", "read_to"])
+        c = K.gather(batches, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16, np.int32])
+        if not len(c[0]):
+            return
+        order = np.lexsort((c[3], c[2], c[1]))
+        edge, doc, row, at, gap, back, ahead, n = (x[order].astype(np.int64) for x in c)
+        apart = _fresh(doc, row)
+        apart[1:] |= at[1:] != at[:-1] + gap[:-1]
+        end = at + gap + k
+        s = np.flatnonzero(apart)
+        e = np.append(s[1:], len(at)) - 1
+        lo, hi = np.maximum(at[s] - back[s], np.maximum(end[s] - least, 0)), np.minimum(end[e] + ahead[e], at[e] + least)
+        room = hi - lo >= least
+        step = apart.copy()
+        step[1:] |= n[1:] != n[:-1]
+        p = np.flatnonzero(step)
+        q = np.append(p[1:], len(at))
+        long = end[q - 1] - at[p] >= least
+        p, q = p[long], q[long]
+        h = hashes(K.mix(edge.view(np.uint64)), p, q).view(np.int64)
+        r = s[room]
+        null = np.concatenate([np.ones(len(r), bool), np.zeros(len(p), bool)])
+        join = lambda x, y, t: pa.array(np.concatenate([x, y]), t)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(r), np.int64), h]), mask=null), join(n[r], n[p], LONG), join(doc[r], doc[p], LONG), join(row[r].astype(np.int32), row[p].astype(np.int32), INT), join(lo[room], at[p], INT), join(hi[room], end[q - 1], INT)], ["hash", "n", "doc_id", "row", "a", "z"])
 
     return run
 
 
-def _mark(n: int, base: np.ndarray, at: pa.Array, to: pa.Array) -> np.ndarray:
-    """Over ``n`` positions, the number of the last span begun at or before each, and whether it lies in a span."""
-    count = at.value_lengths().to_numpy()
-    off = np.repeat(base, count)
-    depth = np.zeros(n + 1, np.int32)
-    np.add.at(depth, off + at.flatten().to_numpy(), 1)
-    np.add.at(depth, off + to.flatten().to_numpy(), -1)
-    return np.cumsum(depth)[:n]
+def _reach(n: int, base: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """For each of ``n`` positions, the farthest end of a span that begins there or before."""
+    count = spans.value_lengths().to_numpy()
+    off, flat = np.repeat(base, count), spans.flatten()
+    reach = np.zeros(n + 1, np.int64)
+    np.maximum.at(reach, off + flat.field(0).to_numpy(), off + flat.field(1).to_numpy())
+    return np.maximum.accumulate(reach)
 
 
-def _windows(least: int):
-    """mapInArrow body: (row, doc_id, text, sure/read spans) to (hash, row, doc_id, pos) of the runs to be counted."""
+def _runs(least: int, parts: int):
+    """mapInArrow body: (doc_id, row, text, regions, sure) to the runs of ``least`` words to be counted, scattered by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ids, rows, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
             for lo, hi, raw, off in K.chunks(b.column(2)):
                 words = K.Words(raw, off)
-                h = words.hashes()
-                base, n = words.off[:-1], int(words.off[-1])
-                part = [c.slice(lo, hi - lo) for c in b.columns[3:7]]
-                inside = _mark(n, base, part[2], part[3])
-                outside = np.concatenate([[0], np.cumsum(inside == 0)])
-                ok = K.starts_with_room(words.off, least)
-                at = np.flatnonzero(ok)
-                at = at[outside[at + least] == outside[at]]
-                # inside one sure span: the span that begins last at or before the run reaches its end
-                count = part[0].value_lengths().to_numpy()
-                shift = np.repeat(base, count)
-                reach = np.zeros(n + 1, np.int64)
-                np.maximum.at(reach, shift + part[0].flatten().to_numpy(), shift + part[1].flatten().to_numpy())
-                reach = np.maximum.accumulate(reach)
-                at = at[reach[at] < at + least]
+                h, n = words.hashes(), int(words.off[-1])
+                at = np.flatnonzero(K.starts_with_room(words.off, least))
+                at = at[_reach(n, words.off[:-1], b.column(3).slice(lo, hi - lo))[at] >= at + least]
+                at = at[_reach(n, words.off[:-1], b.column(4).slice(lo, hi - lo))[at] < at + least]
                 if len(at):
                     doc = np.searchsorted(words.off, at, "right") - 1
-                    key = _edge_hashes(h, at, at + least)
-                    take = pa.array(doc + lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((at - base[doc]).astype(np.int32))], ["hash", "row", "doc_id", "pos"])
+                    out.append((hashes(h, at, at + least).view(np.int64), ids[doc + lo], rows[doc + lo], (at - words.off[doc]).astype(np.int32)))
+            if out:
+                c = [np.concatenate(x) for x in zip(*out)]
+                yield K.scatter(c[0].view(np.uint64), parts, [(x, t) for x, t in zip(c, (LONG, LONG, INT, INT))])
+
+    return run
+
+
+def _twice(parts: int):
+    """mapInArrow body: runs by content to those that occur twice, scattered by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = K.gather(batches, [np.int64, np.int64, np.int32, np.int32])
+        order = np.lexsort((c[3], c[2], c[1], c[0]))
+        c = [x[order] for x in c]
+        one = _fresh(*c)
+        c = [x[one] for x in c]
+        n = _sizes(_fresh(c[0]), len(c[0]))
+        many = np.repeat(n > 1, n)
+        if many.any():
+            yield K.scatter(doc_key(c[1][many], c[2][many]), parts, [(c[1][many], LONG), (c[2][many], INT), (c[3][many], INT)])
+
+    return run
+
+
+def _join_runs(least: int):
+    """mapInArrow body: repeated runs by document to the spans (doc_id, row, a, z) that they cover together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, row, at = K.gather(batches, [np.int64, np.int32, np.int32])
+        if not len(doc):
+            return
+        order = np.lexsort((at, row, doc))
+        doc, row, at = doc[order], row[order], at[order]
+        new = _fresh(doc, row)
+        new[1:] |= at[1:] > at[:-1] + least
+        s = np.flatnonzero(new)
+        e = np.append(s[1:], len(at)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(row[s]), pa.array(at[s]), pa.array(at[e] + np.int32(least))], ["doc_id", "row", "a", "z"])
 
     return run
 
@@ -185,30 +226,25 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = GRAM, w: int =
     """(doc_id, start_word, end_word, n_words): each maximal run of repeated words; ``end_word`` is exclusive."""
     if k + 2 * w - 1 > least:
         raise ValueError("k + 2 w - 1 must not exceed the least length")
-    scratch = Scratch(docs.sparkSession, "substrings")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substrings")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_DOCS))
+    text = with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), F.lower("text").alias("text"))
+    edges = text.mapInArrow(_edges(k, w, parts), _EDGES)
+    repeated = edges.repartition(parts, "part").mapInArrow(_repeated(parts), _EDGES + ", c7 array<int>")
+    found = scratch.table(repeated.repartition(parts, "part").mapInArrow(_paths(k, least), "hash long, n long, doc_id long, row int, a int, z int"), "paths")
     key = ["doc_id", "row"]
-    text = with_ids(docs).select(F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    table = scratch.table(text.mapInArrow(_edges(k, w), "row long, doc_id long, n_words int, at array<int>, next array<int>, u array<long>, v array<long>, edge array<long>"), "edges")
-    occ = table.select(*key, "n_words", F.posexplode(F.arrays_zip("at", "next", "u", "v", "edge")).alias("i", "x")).select(*key, "n_words", "i", "x.*")
-    place = F.xxhash64("doc_id", "row", "at")
-    many = scratch.table(occ.groupBy("edge").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("edge"), "many")
-    again = scratch.table(occ.join(maybe_broadcast(many), "edge").dropDuplicates([*key, "i"]), "again")
-    # u and v follow from the edge's words: any occurrence has them
-    paths = scratch.table(compact(again.groupBy("edge").agg(F.min("u").alias("u"), F.min("v").alias("v")), scratch), "paths")
-    placed = again.select("edge", *key, "n_words", "i", "at", "next").join(paths, "edge")
-    by = Window.partitionBy(*key).orderBy("i")
-    starts = F.lag("i").over(by).isNull() | (F.lag("path").over(by) != F.col("path")) | (F.lag("i").over(by) != F.col("i") - 1) | (F.lag("place").over(by) != F.col("place") - 1) | (F.col("place") < 0)
-    runs = placed.withColumn("new", starts.cast("int")).withColumn("run", F.sum("new").over(by)).groupBy(*key, "n_words", "run", "path", "size").agg(F.min("at").alias("pos"), F.max("next").alias("last"), F.min("next").alias("first_next"), F.max("at").alias("last_pos"), F.count("*").alias("n"), F.min("place").alias("place"))
-    runs = scratch.table(runs, "runs")
-    whole = runs.groupBy("path").agg(F.bool_and((F.col("n") == F.col("size")) & (F.col("place") == 0)).alias("whole"))
-    spans = runs.join(whole, "path").groupBy(*key, "n_words").agg(F.collect_list(F.struct("pos", (F.col("last") + k).alias("end"), (F.col("first_next") + k).alias("first_end"), "last_pos", "whole")).alias("spans"))
-    regions = scratch.table(spans.select("row", "doc_id", "n_words", "spans").mapInArrow(_regions(least), "row long, doc_id long, sure_at array<int>, sure_to array<int>, read_at array<int>, read_to array<int>"), "regions")
-    reread = text.join(maybe_broadcast(regions), key).select("row", "doc_id", "text", "sure_at", "sure_to", "read_at", "read_to")
-    counted = scratch.table(reread.mapInArrow(_windows(least), "hash long, row long, doc_id long, pos int"), "windows")
-    place = F.xxhash64("doc_id", "row", "pos")
-    twice = counted.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("hash")
-    read = counted.join(twice, "hash").select(*key, F.col("pos").alias("a"), (F.col("pos") + least).alias("z"))
-    sure = regions.select(*key, F.explode(F.arrays_zip("sure_at", "sure_to")).alias("x")).select(*key, F.col("x.sure_at").alias("a"), F.col("x.sure_to").alias("z")).filter(F.col("z") - F.col("a") >= least)
+    paths = found.filter("hash IS NOT NULL")
+    whole = paths.groupBy("hash", "n").agg(F.count("*").alias("equal")).filter("equal = n").select("hash")
+    sure = scratch.table(paths.join(maybe_broadcast(whole), "hash").select(*key, "a", "z"), "sure")
+    # Spans of a document, ascending; only documents with a region need be read
+    regions = found.filter("hash IS NULL").groupBy(*key).agg(F.collect_list(F.struct("a", "z")).alias("regions"))
+    certain = sure.groupBy(*key).agg(F.collect_list(F.struct("a", "z")).alias("sure"))
+    spans = scratch.table(regions.join(certain, key, "left").select(*key, "regions", F.coalesce("sure", F.array().cast("array<struct<a:int,z:int>>")).alias("sure")), "spans")
+    reread = text.join(maybe_broadcast(spans), key).select(*key, "text", "regions", "sure")
+    runs = reread.mapInArrow(_runs(least, parts), "part int, c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>")
+    twice = runs.repartition(parts, "part").mapInArrow(_twice(parts), "part int, c0 array<long>, c1 array<int>, c2 array<int>")
+    read = twice.repartition(parts, "part").mapInArrow(_join_runs(least), "doc_id long, row int, a int, z int")
     order = Window.partitionBy(*key).orderBy("a", "z")
     reached = F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = read.unionByName(sure).withColumn("new", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
