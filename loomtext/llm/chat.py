@@ -1,10 +1,10 @@
 """Chat formatting of reply trees.
 
-Messages with a parent form trees.  Iterative self-joins enumerate every path from a root to a leaf: each round
-joins the open paths with the replies to their last messages, so there are as many rounds as the
-deepest tree has levels, and each round's paths are a written table of ids and scores without texts.  A tree's
-branches are ranked by score (the sum of their messages' scores), ties by the path; the ``best`` first are
-written out as one conversation each.
+Messages with a parent form trees.  Iterative self-joins enumerate the paths from roots to leaves by doubling: in
+round r a message knows its ancestor 2^r replies up, and what the messages in between score, so that a thread of
+d messages takes log d rounds.  A tree's branches are ranked by score (the sum of their messages' scores), ties
+by the path; the rounds' tables, joined again, list the messages of the branches that can be among the ``best``,
+which are written out as one conversation each.  Texts join last.  Every round is a written table.
 
 Cases: a message whose parent is missing or null is a root; messages that are their own ancestors have no root and
 aren't formatted; equal rows are one message; several messages of one (tree, id) are one node, of which the
@@ -23,24 +23,40 @@ from .runtime import Scratch
 BEST = 3
 
 
-def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, path, score) of every root-to-leaf path; ``messages``: (tree, id, parent, score), unique by (tree, id)."""
-    edges = messages.select("tree", F.col("id").alias("child"), F.col("score").alias("more"), F.col("parent").alias("last"))
-    real = messages.select("tree", F.col("id").alias("last"))
-    roots = edges.join(real, ["tree", "last"], "left_anti")
-    replies = scratch.table(edges.join(real, ["tree", "last"], "left_semi"), "replies")
-    parents = replies.select("tree", "last").distinct()
-    open_ = scratch.table(roots.select("tree", F.array("child").alias("path"), F.col("child").alias("last"), F.col("more").alias("score")), "open")
-    done = []
-    while True:
-        done.append(open_.join(parents, ["tree", "last"], "left_anti").select("tree", "path", "score"))
-        open_ = scratch.table(open_.join(replies, ["tree", "last"]).select("tree", F.concat("path", F.array("child")).alias("path"), F.col("child").alias("last"), (F.col("score") + F.col("more")).alias("score")), "open")
-        if not open_.limit(1).count():
+def ancestors(messages: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """((tree, id, depth, total) of every message under a root, [(tree, id, up): its 2^r-th ancestor, for each round r]).
+
+    ``messages``: (tree, id, parent, score), unique by (tree, id).  ``total`` sums the scores from the root on.
+    """
+    real = messages.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
+    state = scratch.table(messages.join(real, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "state")
+    rounds, left = [], state.filter("up IS NOT NULL").count()
+    while left:
+        rounds.append(state.filter("up IS NOT NULL").select("tree", "id", "up"))
+        over = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        state = scratch.table(state.join(over, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "state")
+        now = state.filter("up IS NOT NULL").count()
+        if now == left:  # only loops are left: each round ends some path if there is one
             break
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return found
+        left = now
+    return state.filter("up IS NULL").select("tree", "id", "depth", "total"), rounds
+
+
+def paths(messages: DataFrame, scratch: Scratch, best: int | None) -> DataFrame:
+    """(tree, leaf, score, path, branch_rank) of each tree's ``best`` root-to-leaf paths (None: of all)."""
+    known, rounds = ancestors(messages, scratch)
+    known = scratch.table(known, "known")
+    leaves = known.join(messages.select("tree", F.col("parent").alias("id")), ["tree", "id"], "left_anti")
+    if best:  # all that fewer than ``best`` beat by score alone; ties are settled by the paths
+        leaves = leaves.withColumn("r", F.rank().over(Window.partitionBy("tree").orderBy(F.desc("total")))).filter(F.col("r") <= best)
+    members = scratch.table(leaves.select("tree", F.col("id").alias("leaf"), "id"), "members")
+    for up in rounds:
+        higher = members.join(up, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"))
+        members = scratch.table(members.unionByName(higher), "members")
+    lists = members.join(known.select("tree", "id", "depth"), ["tree", "id"]).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "id")))["id"].alias("path"))
+    scored = lists.join(leaves.select("tree", F.col("id").alias("leaf"), F.col("total").alias("score")), ["tree", "leaf"])
+    ranked = scored.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "path")))
+    return ranked.filter(F.col("branch_rank") <= best) if best else ranked
 
 
 def format_trees(messages: DataFrame, best: int | None = BEST) -> DataFrame:
@@ -52,9 +68,8 @@ def format_trees(messages: DataFrame, best: int | None = BEST) -> DataFrame:
     one = F.row_number().over(Window.partitionBy("tree", "id").orderBy("parent", "role", "text", "score"))
     clean = messages.filter("tree IS NOT NULL AND id IS NOT NULL").select("tree", "id", "parent", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
     nodes = scratch.table(clean.withColumn("nth", one).filter("nth = 1").drop("nth"), "nodes")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "path"))
-    ranked = paths(nodes.select("tree", "id", "parent", "score"), scratch).withColumn("branch_rank", rank)
-    chosen = (ranked.filter(F.col("branch_rank") <= best) if best else ranked).select("tree", "branch_rank", "score", F.element_at("path", -1).alias("leaf"), F.posexplode("path").alias("pos", "id"))
+    ranked = paths(nodes.select("tree", "id", "parent", "score"), scratch, best)
+    chosen = ranked.select("tree", "branch_rank", "score", "leaf", F.posexplode("path").alias("pos", "id"))
     said = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>\n"))
     lines = chosen.join(nodes.select("tree", "id", said.alias("said")), ["tree", "id"])
     whole = lines.groupBy("tree", "branch_rank", "leaf", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("m"))
