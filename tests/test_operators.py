@@ -301,3 +301,19 @@ def test_histogram(spark):
     sizes = spark.createDataFrame([(str(i), n) for i, n in enumerate([1, 1, 5, 11])], "label string, n long")
     got = {r["bin"]: r["n"] for r in embedding.histogram(sizes, 5).collect()}
     assert got == {0: 2, 2: 1, 4: 1}
+
+
+@pytest.mark.parametrize("mode,extra", [("baseline", ["--k", "2"]), ("graph", []), ("analyze", []), ("probe", [])])
+def test_command_line(spark, tmp_path, mode, extra):
+    from loomtext import cli
+
+    d = tmp_path / "data" / "toy"
+    d.mkdir(parents=True)
+    rows = [{"input": f"{a} {b}", "label": a} for a in ("apple pie", "fast car") for b in "one two three four five six".split()]
+    (d / "small.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    args = cli.parser().parse_args([mode, "--data", str(tmp_path / "data"), "--runs", str(tmp_path / "runs"), "--dataset", "toy", *extra])
+    got = cli.run(args, spark)
+    if mode == "baseline":
+        assert got["ACC"] == 1.0 and json.loads(open(f"{got['run_dir']}/results.json").read())["n_samples"] == 12
+    elif mode == "analyze":
+        assert got["datasets"][0]["summary"]["small_samples"] == 12
