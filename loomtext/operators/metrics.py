@@ -102,30 +102,78 @@ def scores(pairs: DataFrame, true: str = "truth", pred: str = "pred") -> dict[st
     return {"ACC": round(acc, 6), "NMI": round(both["nmi"], 6), "ARI": round(both["ari"], 6)}
 
 
-def _silhouette(points: DataFrame, gap: Column) -> DataFrame:
+#: Numbers that every task may hold for the pairwise silhouette; beyond it, the pairs are joined.
+HELD = 25_000_000
+
+
+def _value(a: Column, b: Column) -> Column:
+    """A singleton has no own distance and counts 0, as do points of a clustering with one cluster."""
+    return F.when(a.isNull() | b.isNull() | (F.greatest(a, b) == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
+
+
+def _held(points: DataFrame, metric: str) -> DataFrame:
+    """(id, a, b) by matrix products: each task meets its rows with all rows."""
+    everything = points.toPandas()
+    codes, at = np.unique(everything["cluster_id"].to_numpy(), return_inverse=True)
+    x = np.stack(everything["v"].to_numpy()).astype(float)
+    member = np.zeros((len(x), len(codes)))
+    member[np.arange(len(x)), at] = 1
+    shared = points.sparkSession.sparkContext.broadcast((x, member, codes))
+
+    def run(parts):
+        from .kmedoids import distances
+
+        for p in parts:
+            if p.empty:
+                continue
+            x, member, codes = shared.value
+            own = np.searchsorted(codes, p["cluster_id"].to_numpy())
+            for lo in range(0, len(p), 256):
+                q = p.iloc[lo : lo + 256]
+                v = np.stack(q["v"].to_numpy()).astype(float)
+                r, mine = np.arange(len(q)), own[lo : lo + 256]
+                self_distance = distances(v, v, metric)[r, r]
+                total = distances(v, x, metric) @ member
+                n = np.repeat(member.sum(axis=0)[None], len(q), axis=0)
+                total[r, mine] -= self_distance
+                n[r, mine] -= 1
+                mean = np.divide(total, n, out=np.full_like(total, np.nan), where=n > 0)
+                a = mean[r, mine].copy()
+                mean[r, mine] = np.inf
+                b = mean.min(axis=1)
+                yield q[["id"]].assign(a=a, b=np.where(np.isinf(b), np.nan, b))
+
+    rows = points.repartition(points.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "id long, a double, b double")
+    return rows.select("id", F.nullif("a", F.lit(float("nan"))).alias("a"), F.nullif("b", F.lit(float("nan"))).alias("b"))
+
+
+def _silhouette(points: DataFrame, gap: Column, metric: str, held: int) -> DataFrame:
     """Mean silhouette from all pairs' ``gap`` between columns v (of a) and w (of b)."""
-    other = points.select(F.col("id").alias("id2"), F.col("cluster_id").alias("cluster2"), F.col("v").alias("w"))
-    per = points.crossJoin(other).filter("id <> id2").groupBy("id", "cluster_id", "cluster2").agg(F.avg(gap).alias("d"))
-    own = F.min(F.when(F.col("cluster_id") == F.col("cluster2"), F.col("d")))
-    near = F.min(F.when(F.col("cluster_id") != F.col("cluster2"), F.col("d")))
-    s = per.groupBy("id").agg(own.alias("a"), near.alias("b"))
-    # a singleton has no own distance and counts 0, as do points of a clustering with one cluster
-    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    points = points.select(F.col("id").cast("long").alias("id"), "cluster_id", F.col("v").cast("array<double>").alias("v"))
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    if size["n"] and size["n"] * size["d"] <= held:
+        s = _held(points, metric)
+    else:
+        other = points.select(F.col("id").alias("id2"), F.col("cluster_id").alias("cluster2"), F.col("v").alias("w"))
+        per = points.crossJoin(other).filter("id <> id2").groupBy("id", "cluster_id", "cluster2").agg(F.avg(gap).alias("d"))
+        own = F.min(F.when(F.col("cluster_id") == F.col("cluster2"), F.col("d")))
+        near = F.min(F.when(F.col("cluster_id") != F.col("cluster2"), F.col("d")))
+        s = per.groupBy("id").agg(own.alias("a"), near.alias("b"))
     clusters = points.agg(F.countDistinct("cluster_id").alias("k"))
-    return s.agg(F.avg(value).alias("s")).crossJoin(clusters).select(F.when(F.col("k") < 2, -1.0).otherwise(F.col("s")).alias("silhouette"))
+    return s.agg(F.avg(_value(F.col("a"), F.col("b"))).alias("s")).crossJoin(clusters).select(F.when(F.col("k") < 2, -1.0).otherwise(F.col("s")).alias("silhouette"))
 
 
-def silhouette_euclidean(points: DataFrame) -> DataFrame:
+def silhouette_euclidean(points: DataFrame, held: int = HELD) -> DataFrame:
     """One row ``silhouette`` of (id, cluster_id, v array<double>): exact, from all pairs.
 
     Pairs grow with the square of the rows: use it on at most some thousands (``sample_rows``); beyond, the cosine
-    and squared-Euclidean forms below need one pass.
+    form below needs one pass.
     """
-    return _silhouette(points, V.euclidean(F.col("v"), F.col("w")))
+    return _silhouette(points, V.euclidean(F.col("v"), F.col("w")), "euclidean", held)
 
 
-def silhouette_cosine_pairs(points: DataFrame) -> DataFrame:
-    return _silhouette(points, V.cosine_distance(F.col("v"), F.col("w")))
+def silhouette_cosine_pairs(points: DataFrame, held: int = HELD) -> DataFrame:
+    return _silhouette(points, V.cosine_distance(F.col("v"), F.col("w")), "cosine", held)
 
 
 def silhouette_cosine(points: DataFrame, dim: int) -> DataFrame:
@@ -141,7 +189,7 @@ def silhouette_cosine(points: DataFrame, dim: int) -> DataFrame:
     own = F.when(F.col("n") > 1, ((F.col("n") - 1) - (product - V.dot(F.col("u"), F.col("u")))) / (F.col("n") - 1))
     d = F.when(F.col("cluster_id") == F.col("c2"), own).otherwise(1 - product / F.col("n"))
     per = pair.withColumn("d", d).groupBy("id").agg(F.min(F.when(F.col("cluster_id") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster_id") != F.col("c2"), F.col("d"))).alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    value = _value(F.col("a"), F.col("b"))
     clusters = unit.agg(F.countDistinct("cluster_id").alias("k"))
     return per.agg(F.avg(value).alias("s")).crossJoin(clusters).select(F.when(F.col("k") < 2, -1.0).otherwise(F.col("s")).alias("silhouette"))
 

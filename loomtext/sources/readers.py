@@ -141,3 +141,14 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
 def load_run(documents: DataFrame, predictions: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, input, label, predicted, embedding): documents, predictions and vectors joined by id."""
     return documents.join(predictions.select("doc_id", F.col("label").alias("predicted")), "doc_id").join(vectors, "doc_id")
+
+
+def infer_dataset_name(run_dir: str, metadata: dict | None = None) -> str:
+    """The dataset of a run: from its metadata, else from ``<dataset>_<split>...`` in the folder's name."""
+    if metadata and metadata.get("dataset"):
+        return metadata["dataset"]
+    name = run_dir.rstrip("/").rsplit("/", 1)[-1]
+    for split in SPLITS:
+        if f"_{split}" in name:
+            return name.split(f"_{split}")[0]
+    return name

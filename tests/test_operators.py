@@ -69,6 +69,9 @@ def test_silhouettes_by_brute_force(spark, blobs):
             a, b = d[i, own].mean(), min(d[i, c == k].mean() for k in set(c) - {c[i]})
             s.append((b - a) / max(a, b))
         assert got.first()["silhouette"] == pytest.approx(np.mean(s), abs=1e-6)
+    few = blobs.filter("id % 4 = 0 OR id = 1").withColumn("cluster_id", F.when(F.col("id") == 1, 9).otherwise(F.col("cluster_id")))
+    for f in (metrics.silhouette_euclidean, metrics.silhouette_cosine_pairs):
+        assert f(few).first()["silhouette"] == pytest.approx(f(few, held=0).first()["silhouette"], abs=1e-7)
     one = blobs.withColumn("cluster_id", F.lit(0))
     assert metrics.silhouette_cosine(one, 4).first()["silhouette"] == -1.0
 
@@ -272,6 +275,11 @@ def test_settings(tmp_path, monkeypatch):
     assert (s.k0, s.k_max, s.llm_force_json, s.seed) == (12, 9, True, 42)
 
 
+def test_dataset_names():
+    assert readers.infer_dataset_name("/runs/clinc_domain_small_x_20260101/") == "clinc_domain"
+    assert readers.infer_dataset_name("/runs/other", {"dataset": "d"}) == "d" and readers.infer_dataset_name("/runs/other") == "other"
+
+
 def test_provider_checks():
     assert checks.verdict(checks.probe()) == "good"
 
