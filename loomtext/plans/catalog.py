@@ -478,8 +478,9 @@ def discover_and_consolidate(spark, sf):
 def provider_usage(spark, sf):
     from ..functions import prompts
 
-    make = F.pandas_udf(lambda t: t.map(lambda x: prompts.one_word_labels([x[:200]])), "string")
-    return P.usage(P.ask(documents(spark, sf).select(F.col("doc_id").alias("request_id"), make("input").alias("prompt"))))
+    make = F.pandas_udf(lambda t: t.map(lambda x: [prompts.one_word_labels([w]) for w in labelling.windows(x)]), "array<string>")
+    asked = documents(spark, sf).select("doc_id", F.posexplode(make("input")).alias("part", "prompt"))
+    return P.usage(P.ask(asked.select(F.xxhash64("doc_id", "part").alias("request_id"), "prompt")))
 
 
 # --- fits

@@ -216,6 +216,39 @@ def test_label_operators(spark):
     assert labelling.trim_labels(["car", "cars", "apple"], 2) == ["car", "apple"]
 
 
+def test_whole_texts_are_read(spark, monkeypatch):
+    far = "filler words " * 60
+    docs = spark.createDataFrame([(0, far + "zebra zebra", "l"), (1, far + "giraffe giraffe", "l")], "doc_id long, input string, label string")
+    assert {r["doc_id"]: r["label"] for r in labelling.classify(docs, ["giraffe", "zebra"], size=2).collect()} == {0: "zebra", 1: "giraffe"}
+    assert {r["doc_id"]: r["label"] for r in labelling.classify(docs, ["giraffe", "zebra"], size=1).collect()} == {0: "zebra", 1: "giraffe"}
+
+    class Echo:
+        def chat(self, prompt, max_tokens=None):
+            return json.dumps({"labels": [t.split()[-1] for t in prompts.inputs_of(prompt)[1]["texts"]]})
+
+    for sequential in (True, False):
+        assert labelling.discover_labels(docs, Echo, sequential=sequential) == ["zebra", "giraffe"]
+    named = labelling.name_groups(docs.select(F.lit(0).alias("community"), F.col("doc_id").alias("id"), F.concat("input", F.lit(" "), "input").alias("input")))
+    assert named.first()["name"] == "filler"
+
+
+@pytest.mark.parametrize("text", ["", None, "one two three four five", "x" * 25, "a\n" * 30])
+def test_windows_join_to_the_text(text):
+    got = labelling.windows(text, 10)
+    assert "".join(got) == (text or "") and max(map(len, got)) <= 10
+    groups = labelling._prompts_of([text, "tail", text], 10)
+    assert all(sum(len(w) for _, w in g) <= 10 for g in groups)
+    assert ["".join(w for g in groups for j, w in g if j == i) for i in range(3)] == [text or "", "tail", text or ""]
+
+
+def test_closest_label_is_that_of_the_overlap():
+    rng = np.random.default_rng(0)
+    some = lambda n: " ".join("".join(rng.choice(list("abc"), 4)) for _ in range(n))
+    for _ in range(200):
+        text, labels = some(int(rng.integers(0, 9))), [some(int(rng.integers(1, 3))) for _ in range(5)]
+        assert P._closest(text, labels) == max(labels, key=lambda c: (P._overlap(text, c), -labels.index(c)))
+
+
 def test_failing_provider(spark):
     class Mute:
         def chat(self, prompt, max_tokens=None):
