@@ -1,10 +1,11 @@
 """Near-duplicate groups by b-bit MinHash.
 
 A document is the set of its word 3-grams (words lower-cased).  128 hash minima are taken over the whole text.
-Bands of four full minima give candidate buckets; of each minimum only the low b = 4 bits are kept, packed into a
-64-byte signature.  In a bucket, the share of equal b-bit slots, counted on the packed words, gives the similarity
-corrected for chance collisions: J = (p - 2^-b) / (1 - 2^-b).  Pairs at or above ``threshold`` are linked, and
-the smallest id of each connected group stays.
+42 bands of three full minima give candidate buckets (a pair of J = 0.5 shares one with probability 0.996); of each
+minimum only the low b = 4 bits are kept, packed into a 64-byte signature.  In a bucket, the share of equal b-bit slots,
+counted on the packed words, gives the similarity corrected for chance collisions: J = (p - 2^-b) / (1 - 2^-b), with a
+standard error of 0.05 at J = 0.5.  Pairs at ``MARGIN`` above ``threshold`` are linked; those within ``MARGIN`` of it,
+unless other links join them already, are decided by the exact Jaccard similarity of their shingles.  The smallest id of each connected group stays.
 
 Nothing is capped: equal signatures of a bucket are collapsed first (their J is 1), small buckets are
 compared in full, and in large ones a search from member to member visits what it has not linked yet, which
@@ -27,7 +28,9 @@ from . import kernels as K
 from .components import components
 from .runtime import Scratch, anti_ids, maybe_broadcast, with_ids
 
-SHINGLE, HASHES, BANDS, BITS, THRESHOLD = 3, 128, 32, 4, 0.5
+SHINGLE, HASHES, BANDS, BITS, THRESHOLD = 3, 128, 42, 4, 0.5
+#: Three standard errors of an estimate: how far from the threshold it decides by itself.
+MARGIN = 0.15
 #: (hash, id) entries that one bucket task sorts.
 BUCKET_ROWS = 1_500_000
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -74,13 +77,13 @@ def _finish(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed b-bit signatures as (n, 64) bytes, band hashes as (n, 32) words) of full minima."""
+    """(packed b-bit signatures as (n, 64) bytes, band hashes as (n, 42) words) of full minima."""
     low = (_finish(m) & np.uint32((1 << BITS) - 1)).astype(np.uint8)
     packed = low[:, 0::2] | (low[:, 1::2] << np.uint8(4))
     r = HASHES // BANDS
     band = np.zeros((len(m), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(r):
-        band = K.mix(band * np.uint64(0x9E3779B97F4A7C15) + m[:, j::r])
+        band = K.mix(band * np.uint64(0x9E3779B97F4A7C15) + m[:, j : r * BANDS : r])
     return packed, band
 
 
@@ -143,8 +146,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([K.lists(ids[many], n[n > 1], pa.int64())], ["members"])
 
 
-def _link(ids: np.ndarray, sig: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges that span each group of similar members.  Exact: the groups are those of all pairs."""
+def _link(ids: np.ndarray, sig: np.ndarray, threshold: float, low: float | None = None, unsure: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that span each group of similar members.  Exact: the groups are those of all pairs.
+
+    ``unsure`` gets the pairs between groups whose estimate is from ``low`` up to the threshold: each member of a group is
+    compared with all members of the groups after it.
+    """
     first = np.lexsort((ids, *sig.T))
     s, d = sig[first], ids[first]
     new = np.ones(len(d), bool)
@@ -155,50 +162,116 @@ def _link(ids: np.ndarray, sig: np.ndarray, threshold: float) -> list[tuple[np.n
     while len(rest) > 1:
         front, front_s, rest, s = rest[:1], s[:1], rest[1:], s[1:]
         while len(front) and len(rest):
-            hit = estimate(s, front_s[0]) >= threshold
+            j = estimate(s, front_s[0])
+            hit = j >= threshold
             edges.append((np.full(hit.sum(), front[0]), rest[hit]))
+            if unsure is not None:
+                near = rest[(j >= low) & ~hit]
+                unsure.append((np.full(len(near), front[0]), near))
             front, front_s = np.concatenate([front[1:], rest[hit]]), np.concatenate([front_s[1:], s[hit]])
             rest, s = rest[~hit], s[~hit]
     return edges
 
 
-def _verify(threshold: float):
-    """mapInArrow body: (list of (doc_id, sig)) to edges (a, b)."""
+def _verify(threshold: float, margin: float = MARGIN):
+    """mapInArrow body: (list of (doc_id, sig)) to pairs (a, b, sure): linked, or to be decided exactly."""
+    low, high = threshold - margin, threshold + margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(0)
+        for batch in batches:
+            col = batch.column(0)
             n = col.value_lengths().to_numpy()
             flat = col.flatten()
             ids = flat.field(0).to_numpy()
             sig = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint64).reshape(-1, 8)
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            edges = []
+            edges, unsure = [], []
             for size in range(2, 9):  # small buckets: every pair, all buckets of a size at once
                 at = start[n == size]
                 for i in range(size):
                     for j in range(i):
-                        ok = estimate(sig[at + i], sig[at + j]) >= threshold
-                        edges.append((ids[at + i][ok], ids[at + j][ok]))
+                        e = estimate(sig[at + i], sig[at + j])
+                        for out, ok in ((edges, e >= high), (unsure, (e >= low) & (e < high))):
+                            out.append((ids[at + i][ok], ids[at + j][ok]))
             for i in np.flatnonzero(n > 8):
-                edges += _link(ids[start[i] : start[i] + n[i]], sig[start[i] : start[i] + n[i]], threshold)
-            if edges:
-                a, c = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+                edges += _link(ids[start[i] : start[i] + n[i]], sig[start[i] : start[i] + n[i]], high, low, unsure)
+            for pairs, sure in ((edges, True), (unsure, False)):
+                if pairs:
+                    a, c = np.concatenate([e[0] for e in pairs]), np.concatenate([e[1] for e in pairs])
+                    least, most = np.minimum(a, c), np.maximum(a, c)
+                    order = np.lexsort((most, least))
+                    least, most = least[order], most[order]
+                    fresh = least != most
+                    fresh[1:] &= (least[1:] != least[:-1]) | (most[1:] != most[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(least[fresh]), pa.array(most[fresh]), pa.array(np.full(fresh.sum(), sure))], ["a", "b", "sure"])
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (doc_id, text) to (doc_id, sorted distinct shingle hashes)."""
+    for b in batches:
+        for lo, hi, raw, off in K.chunks(b.column(1)):
+            x, at = shingles(raw, off)
+            own = np.repeat(np.arange(hi - lo), np.diff(at))
+            order = np.lexsort((x, own))
+            x, own = x[order], own[order]
+            fresh = np.ones(len(x), bool)
+            fresh[1:] = (x[1:] != x[:-1]) | (own[1:] != own[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), K.lists(x[fresh].view(np.int32), np.bincount(own[fresh], minlength=hi - lo), pa.int32())], ["doc_id", "x"])
+
+
+def _similar(threshold: float):
+    """mapInArrow body: (a, b, shingles of a, of b) to the pairs (a, b) whose Jaccard similarity reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, x = [], []
+            for c in (b.column(2), b.column(3)):
+                own.append(np.repeat(np.arange(b.num_rows), c.value_lengths().to_numpy()))
+                x.append(c.flatten().to_numpy().view(np.uint32))
+            key = np.sort(np.concatenate(own).astype(np.uint64) << np.uint64(32) | np.concatenate(x))
+            pair = (key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64)
+            both = np.bincount(pair, minlength=b.num_rows)
+            total = sum(np.bincount(o, minlength=b.num_rows) for o in own) - both
+            ok = pa.array(both >= threshold * total)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    return run
+
+
+def _decided(docs: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose texts' shingles have a Jaccard similarity of at least ``threshold``."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(maybe_broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
+    # rows of one id are one document: any of them that is like a row of the other decides
+    sets = scratch.table(texts.mapInArrow(_sets, "doc_id long, x array<int>"), "sets")
+    a, b = sets.toDF("a", "xa"), sets.toDF("b", "xb")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", "xa", "xb")
+    return met.mapInArrow(_similar(threshold), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keep_id) of each document that is in a group of near duplicates and isn't its smallest id."""
     scratch = Scratch(docs.sparkSession, "near")
-    signed = scratch.table(with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_sign, "doc_id long, sig binary, bands array<long>"), "signed")
+    texts = with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    signed = scratch.table(texts.mapInArrow(_sign, "doc_id long, sig binary, bands array<long>"), "signed")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // BUCKET_ROWS))
     packed = signed.select("doc_id", "bands").mapInArrow(_scatter(parts), "part int, hash array<long>, ids array<long>")
     buckets = scratch.table(packed.repartition(parts, "part").mapInArrow(_buckets, "members array<long>").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     members = buckets.select("bucket", F.explode("members").alias("doc_id"))
     gathered = members.join(signed.select("doc_id", "sig"), "doc_id").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "sig")).alias("m"))
-    edges = scratch.table(gathered.select("m").mapInArrow(_verify(threshold), "a long, b long").filter("a <> b").distinct(), "edges")
+    pairs = scratch.table(gathered.select("m").mapInArrow(_verify(threshold), "a long, b long, sure boolean").distinct(), "pairs")
+    sure, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("NOT sure").select("a", "b")
+    if not unsure.limit(1).count():
+        return components(sure, scratch)
+    group = components(sure, scratch)
+    for c in ("a", "b"):  # pairs that other links join need no decision
+        unsure = unsure.join(group.select(F.col("doc_id").alias(c), F.col("keep_id").alias(f"g{c}")), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
+    open_ = scratch.table(unsure.filter("ga <> gb").select("a", "b"), "open")
+    edges = scratch.table(sure.unionByName(_decided(texts, open_, threshold, scratch)).distinct(), "edges")
     return components(edges, scratch)
 
 

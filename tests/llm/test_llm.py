@@ -139,6 +139,35 @@ def test_near_recall_and_precision(make):
     assert all(jaccard(text[a], text[b]) > 0.35 for a, b in found)
 
 
+def test_near_pairs_at_the_threshold(make):
+    """Recall from J = 0.5 on and exactness below it, against brute force; pairs are at 0.42 to 0.62."""
+    text, seed = {}, 0
+    while len(text) < 800:
+        seed += 1
+        base = prose(20_000 + seed, 90)
+        other = changed(base, 0.05 + 0.06 * (seed % 5) / 4, seed)
+        if 0.42 <= jaccard(base, other) < 0.62:
+            text |= {len(text): base, len(text) + 1: other}
+    found = {r["keep_id"] for r in near_dedup.near_copies(make(list(text.items()))).collect()}
+    wanted = {i for i in range(0, 800, 2) if jaccard(text[i], text[i + 1]) >= 0.5}
+    close = {i for i in wanted if jaccard(text[i], text[i + 1]) < 0.56}
+    assert len(close) > 60 and len(found & close) >= 0.95 * len(close) and len(found & wanted) >= 0.95 * len(wanted)
+    assert found <= wanted
+
+
+def test_near_unsure_pairs_cross_groups():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (3, 8)).astype(np.uint64)
+    sig = np.repeat(base, 5, axis=0)
+    sig[5:10, :4] = sig[0, :4]  # the second group is half like the first
+    sig[:, 7] ^= np.arange(15, dtype=np.uint64)  # all different: equal ones are collapsed
+    unsure, ids = [], np.arange(15)
+    near_dedup._link(ids, sig, 0.65, 0.35, unsure)
+    got = {frozenset((int(a), int(b))) for x, y in unsure for a, b in zip(x, y)}
+    want = {frozenset(p) for p in itertools.combinations(range(15), 2) if 0.35 <= near_dedup.estimate(sig[p[0]], sig[p[1]]) < 0.65}
+    assert want and got == want
+
+
 def test_near_estimates_and_signatures():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 32, 3000, dtype=np.uint32)
