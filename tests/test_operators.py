@@ -301,6 +301,15 @@ def test_tsne_keeps_blobs_apart(blobs):
     assert min(np.linalg.norm(c[a] - c[b]) for a, b in ((0, 1), (0, 2), (1, 2))) > spread
 
 
+def test_registered_runs_take_the_whole_table(spark, sf, tmp_path):
+    from loomtext.plans import catalog
+
+    rows = [(i, f"{('apple pie', 'fast car')[i % 2]} {i}", "ab"[i % 2]) for i in range(230)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.QUERIES["pipeline_baseline"](spark, str(tmp_path)).first()["n_samples"] == 230
+    assert catalog.QUERIES["tsne_projection"](spark, sf).count() == catalog.points(spark, sf).count() > 150
+
+
 def test_settings(tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("K0=12\n# no\nLLM_FORCE_JSON=yes\n")
     monkeypatch.setenv("K_MAX", "9")
