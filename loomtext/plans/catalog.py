@@ -480,7 +480,7 @@ def classify_batched(spark, sf):
 @query()
 def discover_and_consolidate(spark, sf):
     found = labelling.discover_labels(documents(spark, sf), sequential=False)
-    return spark.createDataFrame(list(enumerate(labelling.consolidate(found[:400], 10, P.OfflineProvider()))), "pos int, label string")
+    return spark.createDataFrame(list(enumerate(labelling.consolidate(found, 10, P.OfflineProvider()))), "pos int, label string")
 
 
 @query()

@@ -249,6 +249,24 @@ def test_closest_label_is_that_of_the_overlap():
         assert P._closest(text, labels) == max(labels, key=lambda c: (P._overlap(text, c), -labels.index(c)))
 
 
+def test_pairwise_overlaps():
+    rng = np.random.default_rng(1)
+    labels = [" ".join("".join(rng.choice(list("abc"), int(rng.integers(1, 6)))) for _ in range(int(rng.integers(1, 3)))) for _ in range(60)] + ["aaaaaa", "aaaa", ""]
+    want = [P._overlap(a, b) for a, b in itertools.combinations(labels, 2)]
+    assert P._overlaps(labels).tolist() == want
+    slow = P.merge_closest(labels, 9, lambda a, b: P._overlap(a, b))
+    assert P.merge_closest(labels, 9) == slow and len(slow) == 9
+
+
+def test_consolidation_takes_all_labels_found(spark, sf, monkeypatch):
+    from loomtext.plans import catalog
+
+    given, names = [], [f"label {i}" for i in range(900)]
+    monkeypatch.setattr(labelling, "discover_labels", lambda *a, **kw: names)
+    monkeypatch.setattr(labelling, "consolidate", lambda found, *a: given.extend(found) or found[:10])
+    assert catalog.QUERIES["discover_and_consolidate"](spark, sf).count() == 10 and given == names
+
+
 def test_failing_provider(spark):
     class Mute:
         def chat(self, prompt, max_tokens=None):
