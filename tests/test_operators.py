@@ -319,6 +319,15 @@ def test_tsne_keeps_blobs_apart(blobs):
     assert min(np.linalg.norm(c[a] - c[b]) for a, b in ((0, 1), (0, 2), (1, 2))) > spread
 
 
+def test_tsne_places_rows_outside_the_sample(blobs):
+    got = {r["id"]: np.array(r["v"]) for r in embedding.tsne(blobs, perplexity=10, n_iter=300, most=30).collect()}
+    assert sorted(got) == list(range(60))
+    sampled = {r["id"] for r in blobs.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(30).collect()}
+    for i in set(range(60)) - sampled:  # among the sampled rows of its own blob
+        own = np.array([got[j] for j in sampled if j // 20 == i // 20])
+        assert (own.min(axis=0) - 1e-9 <= got[i]).all() and (got[i] <= own.max(axis=0) + 1e-9).all()
+
+
 def test_registered_runs_take_the_whole_table(spark, sf, tmp_path):
     from loomtext.plans import catalog
 
