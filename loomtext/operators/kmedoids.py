@@ -14,8 +14,6 @@ from ..functions import vectors as V
 
 #: Rows up to which a fit runs on one distance matrix in one process.
 LOCAL_ROWS = 5_000
-#: Members of a cluster up to which its medoid is found from all pairs; above, from this many hashed candidates.
-CANDIDATES = 2_000
 
 
 @dataclass
@@ -97,21 +95,57 @@ def _assign(medoids: np.ndarray, metric: str):
     return run
 
 
-def medoid_update(members: DataFrame, metric: str = "cosine", candidates: int = CANDIDATES, seed: int = 42) -> DataFrame:
+def medoid_update(members: DataFrame, metric: str = "cosine") -> DataFrame:
     """(cluster_id, id, cost): in each cluster the member of the least summed distance, ties to the smallest id.
 
-    ``members``: (id, v, cluster_id).  Candidates are all members, or in clusters of more than ``candidates`` that many
-    of the least hash; their distances to all members are summed in joins, not in one task.
+    ``members``: (id, v, cluster_id).  All members are tried.  A cosine cost comes from the cluster's sum of unit vectors,
+    n - u . sum(u), in one pass; Euclidean costs are summed over all pairs of a cluster.
     """
-    from pyspark.sql import Window
-
-    gap = V.cosine_distance if metric == "cosine" else V.euclidean
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
-    some = members.withColumn("r", rank).filter(F.col("r") <= candidates).select("cluster_id", "id", F.col("v").alias("m"))
-    cost = some.join(members.select("cluster_id", "v"), "cluster_id").groupBy("cluster_id", "id").agg(F.round(F.sum(gap(F.col("v"), F.col("m"))), 10).alias("cost"))
+    if metric == "cosine":
+        first = members.first()
+        unit = members.select("cluster_id", "id", V.l2_normalise(F.col("v")).alias("u"))
+        centre = unit.groupBy("cluster_id").agg(V.mean_vector(F.col("u"), len(first["v"]) if first else 1).alias("m"), F.count("*").alias("n"))
+        cost = unit.join(F.broadcast(centre), "cluster_id").select("cluster_id", "id", F.round(F.col("n") * (1 - V.dot(F.col("u"), F.col("m"))), 10).alias("cost"))
+    else:
+        pairs = members.select("cluster_id", "id", F.col("v").alias("m")).join(members.select("cluster_id", "v"), "cluster_id")
+        cost = pairs.groupBy("cluster_id", "id").agg(F.round(F.sum(V.euclidean(F.col("v"), F.col("m"))), 10).alias("cost"))
     return cost.groupBy("cluster_id").agg(F.min(F.struct("cost", "id")).alias("b")).select("cluster_id", F.col("b.id").alias("id"), F.col("b.cost").alias("cost"))
 
 
+def _draw(chosen: np.ndarray, metric: str):
+    """mapInPandas body: of each batch of (id, v, h) the row drawn with probability proportional to its squared distance to the
+    chosen.  ``h`` is a seeded hash; the least -log(u) / weight wins, here and then over all batches.  Rows of no weight come
+    last (``none``), drawn evenly.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                w = distances(np.stack(p["v"].to_numpy()).astype(float), chosen, metric).min(axis=1) ** 2 if len(chosen) else np.ones(len(p))
+                key = -np.log((((p["h"].to_numpy().view(np.uint64)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53)
+                none = w <= 0
+                key = np.where(none, key, key / np.where(none, 1, w))
+                i = np.lexsort((p["id"], key, none))[0]
+                yield pd.DataFrame({"id": [p["id"].iloc[i]], "v": [p["v"].iloc[i]], "none": [bool(none[i])], "key": [key[i]]})
+
+    return run
+
+
+def seed_distributed(data: DataFrame, k: int, metric: str, seed: int) -> list[int]:
+    """k-medoids++ as in ``seed_medoids``, a pass over (id, v) for each medoid."""
+    ids: list[int] = []
+    at: list[list[float]] = []
+    while len(ids) < k:
+        rest = data.filter(~F.col("id").isin(ids)) if ids else data
+        drawn = rest.select("id", "v", F.xxhash64("id", F.lit(seed), F.lit(len(ids))).alias("h")).mapInPandas(_draw(np.array(at, float), metric), "id long, v array<double>, none boolean, key double")
+        row = drawn.orderBy("none", "key", "id").first()
+        if row is None:
+            break
+        ids.append(row["id"])
+        at.append(row["v"])
+    return ids
+
+
 def fit(points: DataFrame, k: int, metric: str = "cosine", seed: int = 42, max_iter: int = 300, local_rows: int = LOCAL_ROWS) -> Fit:
     """K-Medoids of (id, v); k at or above the rows makes each its own cluster."""
     spark = points.sparkSession
@@ -125,13 +159,13 @@ def fit(points: DataFrame, k: int, metric: str = "cosine", seed: int = 42, max_i
         found = spark.createDataFrame(pd.DataFrame({"id": rows["id"], "cluster_id": labels.astype(np.int32)}), "id long, cluster_id int")
         return Fit(found, rows["id"].to_numpy()[medoids].tolist(), inertia, it)
     data = data.cache()
-    ids = [r["id"] for r in data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).select("id").collect()]
+    ids = seed_distributed(data, k, metric, seed)
     for it in range(1, max_iter + 1):
         at = {r["id"]: r["v"] for r in data.filter(F.col("id").isin(ids)).collect()}
         ids = [i for i in ids if i in at]
         placed = data.mapInPandas(_assign(np.array([at[i] for i in ids], float), metric), "id long, v array<double>, cluster_id int, distance double").cache()
         new = list(ids)
-        for r in medoid_update(placed, metric, seed=seed).collect():  # k rows
+        for r in medoid_update(placed, metric).collect():  # k rows
             new[r["cluster_id"]] = r["id"]
         if set(new) == set(ids):
             break

@@ -115,6 +115,22 @@ def test_kmedoids_finds_blobs_both_ways(spark, blobs):
     assert kmedoids.fit(blobs, 100).inertia == 0.0
 
 
+def test_kmedoids_seeds_by_distance_at_all_sizes(spark, blobs):
+    lopsided = blobs.filter("id < 20 OR id IN (20, 40)").select("id", "v", "cluster_id")
+    for seed in range(3):
+        ids = kmedoids.seed_distributed(lopsided.select("id", "v"), 3, "euclidean", seed)
+        assert sorted(i // 20 for i in ids) == [0, 1, 2]
+    assert sorted(kmedoids.seed_distributed(spark.createDataFrame([(i, [1.0, 0.0]) for i in range(4)], "id long, v array<double>"), 3, "cosine", 1)) != []
+
+
+def test_medoid_of_a_large_cluster_is_exact(spark):
+    x = np.random.default_rng(5).normal(1, 1, (6000, 3))
+    members = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "id long, v array<double>, cluster_id int")
+    cost = kmedoids.distances(x, x).sum(axis=1)
+    got = kmedoids.medoid_update(members).first()
+    assert got["id"] == int(np.argmin(cost)) and got["cost"] == pytest.approx(cost.min(), abs=1e-6)
+
+
 def test_kmedoids_ties_and_zero_distances():
     x = np.ones((6, 2))
     labels, medoids, inertia, _ = kmedoids.fit_arrays(x, 2)
