@@ -106,6 +106,14 @@ def test_communities_of_two_cliques(spark):
         assert len(set(got.values())) == 3 and got[10] not in (got[0], got[5])
 
 
+def test_parallel_moving_ends_where_no_node_gains(spark):
+    for seed in range(6):
+        edges = [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0)]
+        found = graph.local_moving(spark.range(6), spark.createDataFrame(edges, "src long, dst long, weight double"), seed=seed, local_edges=0)
+        at = {r["id"]: r["community"] for r in found.collect()}
+        assert all(at[a] == at[b] for a, b, _ in edges) and len(set(at.values())) == 3
+
+
 def test_kmedoids_finds_blobs_both_ways(spark, blobs):
     for kw in ({}, {"local_rows": 1}):
         f = kmedoids.fit(blobs, 3, "euclidean", seed=1, **kw)
