@@ -9,7 +9,7 @@ from .runtime import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, keep_id) of each vertex but the smallest of its component.  ``edges``: a table (a, b), a < b.
+    """(v, label): each vertex and the smallest of its component.  ``edges``: a table (a, b), a < b.
 
     Each round takes the least label in the neighbourhood and then the label of that label, so that the
     number of rounds grows with the logarithm of a component's breadth.  Every round is a written table.
@@ -22,6 +22,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         over = labels.select(F.col("v").alias("next"), F.col("label").alias("jump"))
         after = scratch.table(lower.join(over, "next", "left").select("v", F.least("next", "jump").alias("label"), (F.least("next", "jump") < F.col("label")).alias("moved")), "labels")
         if not after.filter("moved").limit(1).count():
-            break
+            return labels
         labels = after.select("v", "label")
-    return labels.filter("v <> label").select(F.col("v").alias("doc_id"), F.col("label").alias("keep_id"))

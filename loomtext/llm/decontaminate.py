@@ -6,8 +6,9 @@ benchmark item therefore leaves a common fingerprint.  Fingerprints are joined,
 word by word to the whole shared passage.
 
 Cases: a null or empty text has no words and no hits, whichever side it is on; rows with a null id are left
-alone (they are never reported, and the filter keeps them); repeated rows give one result per distinct
-(document, item, position); documents of any length are read whole; other columns of either table are
+alone (they are never reported, and the filter keeps them); repeated rows, of either table, give one result per distinct
+(document, item, position); several texts of one id, in either table, are matched apart, and the filter drops those that share a passage
+and no other; documents of any length are read whole; other columns of either table are
 carried by the filter and otherwise ignored, whatever their names.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import Scratch, anti_ids, maybe_broadcast, with_ids
+from .runtime import Scratch, maybe_broadcast, text_key, with_ids, within, without
 
 GRAM, WINDOW = 5, 4
 #: Benchmark fingerprints up to this number are handed to the scan as a sorted array; more are joined.
@@ -38,12 +39,11 @@ def _prints(raw: np.ndarray, off: np.ndarray, k: int, w: int):
 
 
 def _fingerprints(k: int, w: int, only: np.ndarray | None = None):
-    """mapInArrow body: (id, text) to (id, text, pos[], hash[]) for rows that have fingerprints (in ``only``)."""
+    """mapInArrow body: (id, x, text) to (id, x, text, pos[], hash[]) for rows that have fingerprints (in ``only``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, text = b.column(0), b.column(1)
-            for lo, hi, raw, off in K.chunks(text):
+            for lo, hi, raw, off in K.chunks(b.column(2)):
                 doc, pos, h = _prints(raw, off, k, w)
                 if only is not None:
                     if not len(only):
@@ -53,12 +53,12 @@ def _fingerprints(k: int, w: int, only: np.ndarray | None = None):
                 if len(doc):
                     rows, counts = np.unique(doc, return_counts=True)
                     take = pa.array(rows + lo)
-                    yield pa.RecordBatch.from_arrays([ids.take(take), text.take(take), K.lists(pos.astype(np.int32), counts, pa.int32()), K.lists(h.view(np.int64), counts, pa.int64())], ["id", "text", "pos", "hash"])
+                    yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns], K.lists(pos.astype(np.int32), counts, pa.int32()), K.lists(h.view(np.int64), counts, pa.int64())], ["id", "x", "text", "pos", "hash"])
 
     return run
 
 
-_FP = "id long, text string, pos array<int>, hash array<long>"
+_FP = "id long, x long, text string, pos array<int>, hash array<long>"
 
 
 def _words(text: str) -> list[bytes]:
@@ -69,15 +69,15 @@ def _words(text: str) -> list[bytes]:
 
 
 def _extend(least: int):
-    """mapInArrow body: (doc_id, text, item_id, item, at[] of struct(pos, item_pos)) to whole passages."""
+    """mapInArrow body: (doc_id, x, text, item_id, item, at[] of struct(pos, item_pos)) to whole passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             seen: tuple = (None, None)
             for row in b.to_pylist():
-                if seen[0] != row["doc_id"]:
-                    seen = (row["doc_id"], _words(row["text"]))
+                if seen[0] != (row["doc_id"], row["x"]):
+                    seen = ((row["doc_id"], row["x"]), _words(row["text"]))
                 d, t = seen[1], _words(row["item"])
                 reach: dict[int, int] = {}
                 for i, j in sorted((x["pos"], x["item_pos"]) for x in row["at"]):
@@ -91,47 +91,58 @@ def _extend(least: int):
                         z += 1
                     reach[i - j] = i + z
                     if a + z >= least:
-                        out.append((row["doc_id"], row["item_id"], i - a, j - a, a + z))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
+                        out.append((row["doc_id"], row["x"], row["item_id"], i - a, j - a, a + z))
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 3)], ["doc_id", "x", "item_id", "doc_start", "item_start", "n_words"])
 
     return run
 
 
-def shared_passages(docs: DataFrame, items: DataFrame, k: int = GRAM, w: int = WINDOW, filter_hashes: int = FILTER_HASHES) -> DataFrame:
-    """Every passage of at least ``w + k - 1`` words that a document shares with a benchmark item.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return with_ids(docs).select(F.col("doc_id").cast("long").alias("id"), text_key().alias("x"), F.lower("text").alias("text"))
 
-    Columns: doc_id, item_id, doc_start, item_start (word positions), n_words; a passage is maximal: it can't be
-    extended at either end.  The documents are read once and only those with a hit move on.  Up to
-    ``filter_hashes`` benchmark fingerprints the scan drops what cannot join; beyond, all fingerprints are
-    shuffled to the join, with the same result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "passages")
-    test = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("id"), F.lower("text").alias("text")).distinct()
+
+def _passages(docs: DataFrame, items: DataFrame, k: int, w: int, filter_hashes: int) -> DataFrame:
+    """``shared_passages``, with the hash ``x`` of the document's text beside its id."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    test = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("id"), text_key().alias("x"), F.lower("text").alias("text")).distinct()
     prints = scratch.table(test.mapInArrow(_fingerprints(k, w), _FP), "items")
-    keys = prints.select(F.explode(F.arrays_zip("pos", "hash")).alias("x"), F.col("id").alias("item_id"), F.col("text").alias("item")).select("item_id", "item", F.col("x.pos").alias("item_pos"), F.col("x.hash").alias("hash"))
+    spread = lambda t: t.select("id", "x", F.explode(F.arrays_zip("pos", "hash")).alias("p")).select("id", "x", "p.pos", "p.hash")
+    keys = spread(prints).toDF("item_id", "item_x", "item_pos", "hash")
     n = prints.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0)).alias("n")).first()["n"]
     only = None
     if n <= filter_hashes:
         found = keys.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)
         only = np.sort(found.view(np.uint64))
-    train = with_ids(docs).select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
-    hits = scratch.table(train.mapInArrow(_fingerprints(k, w, only), _FP), "hits") if only is not None else train.mapInArrow(_fingerprints(k, w), _FP)
-    spread = hits.select(F.col("id").alias("doc_id"), "text", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("doc_id", "text" if only is not None else F.lit(None).cast("string").alias("text"), F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"))
-    joined = spread.join(maybe_broadcast(keys, n), "hash")
-    if only is None:
-        joined = joined.drop("text").join(train.select(F.col("id").alias("doc_id"), "text"), "doc_id")
-    pairs = joined.groupBy("doc_id", "item_id", F.xxhash64("text").alias("d"), F.xxhash64("item").alias("t")).agg(F.first("text").alias("text"), F.first("item").alias("item"), F.collect_set(F.struct("pos", "item_pos")).alias("at"))
-    found = pairs.select("doc_id", "text", "item_id", "item", "at").mapInArrow(_extend(w + k - 1), "doc_id long, item_id long, doc_start int, item_start int, n_words int")
+    # Positions are joined without texts, which then come to the pairs that have met
+    prints_of = _keyed(docs).mapInArrow(_fingerprints(k, w, only), _FP)
+    hits = scratch.table(prints_of, "hits") if only is not None else prints_of
+    met = spread(hits).join(maybe_broadcast(keys), "hash")
+    pairs = scratch.table(met.groupBy("id", "x", "item_id", "item_x").agg(F.collect_set(F.struct("pos", "item_pos")).alias("at")), "pairs")
+    whole = hits if only is not None else _keyed(within(docs, pairs.select(F.col("id").alias("doc_id"), "x")))
+    pairs = pairs.join(whole.select("id", "x", "text"), ["id", "x"])
+    texts = prints.select(F.col("id").alias("item_id"), F.col("x").alias("item_x"), F.col("text").alias("item"))
+    pairs = pairs.join(maybe_broadcast(texts), ["item_id", "item_x"])
+    found = pairs.select(F.col("id").alias("doc_id"), "x", "text", "item_id", "item", "at").mapInArrow(_extend(w + k - 1), "doc_id long, x long, item_id long, doc_start int, item_start int, n_words int")
     return found.distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
+def shared_passages(docs: DataFrame, items: DataFrame, k: int = GRAM, w: int = WINDOW, filter_hashes: int = FILTER_HASHES) -> DataFrame:
+    """Every passage of at least ``w + k - 1`` words that a document shares with a benchmark item.
+
+    Columns: doc_id, item_id, doc_start, item_start (word positions), n_words; a passage is maximal: it can't be
+    extended at either end.  The documents are read once and only those with a hit move on.  Up to
+    ``filter_hashes`` benchmark fingerprints the scan drops what cannot join; beyond, all fingerprints are
+    shuffled to the join, with the same result.
+    """
+    return _passages(docs, items, k, w, filter_hashes).drop("x").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, k: int = GRAM, w: int = WINDOW, filter_hashes: int = FILTER_HASHES) -> DataFrame:
     """``docs`` without the documents that share a passage with a benchmark item; rows and columns as they were."""
     scratch = Scratch(docs.sparkSession, "tainted")
-    tainted = scratch.table(shared_passages(docs, items, k, w).select("doc_id").distinct(), "ids")
-    return anti_ids(docs, tainted)
+    tainted = scratch.table(_passages(docs, items, k, w, filter_hashes).select("doc_id", "x").distinct(), "ids")
+    return without(docs, tainted)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,14 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
 
 
+def fixed(values: np.ndarray) -> pa.Array:
+    """A binary array: the bytes of each row of a matrix."""
+    values = np.ascontiguousarray(values)
+    size = values.dtype.itemsize * values.shape[1]
+    off = np.arange(len(values) + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def scatter(key: np.ndarray, parts: int, columns: list[tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
     """Rows (part, c0[], c1[], ...) that hold the entries of each part; ``key`` is a mixed hash of each entry.
 
@@ -167,8 +175,24 @@ def scatter(key: np.ndarray, parts: int, columns: list[tuple[np.ndarray, pa.Data
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[lists(c[order], count[used], t) for c, t in columns]], ["part", *[f"c{i}" for i in range(len(columns))]])
 
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
-    """All entries of a partition of scattered rows, a column each."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each part of a partition that is sorted by ``part``, the first column."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        part = b.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if hi > lo:
+                if held and held[0].column(0)[0].as_py() != part[lo]:
+                    yield held
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held
+
+
+def gather(batches: list[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
+    """All entries of scattered rows, a column each."""
     found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
     for b in batches:
         for have, c in zip(found, b.columns[1:]):

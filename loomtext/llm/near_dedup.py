@@ -7,12 +7,14 @@ counted on the packed words, gives the similarity corrected for chance collision
 standard error of 0.05 at J = 0.5.  Pairs at ``MARGIN`` above ``threshold`` are linked; those within ``MARGIN`` of it,
 unless other links join them already, are decided by the exact Jaccard similarity of their shingles.  The smallest id of each connected group stays.
 
-Nothing is capped: equal signatures of a bucket are collapsed first (their J is 1), small buckets are
-compared in full, and in large ones a search from member to member visits what it has not linked yet, which
-finds the same groups as all pairs at a cost that is linear where members are alike.
+Nothing is capped.  Texts of equal minima (their J is 1) are collapsed to the least before any bucket is made; small buckets are
+compared in full; in large ones a search from member to member visits what it has not linked yet, which
+finds the same groups as all pairs at a cost that is linear where members are alike.  A bucket of more than ``BLOCK`` members is
+searched as pairs of blocks, each a row of its own, so that no task or row holds a whole one.
 
 Cases: a text without words (null, empty, punctuation) has no signature and is never a duplicate; a text of one
-or two words is one shingle; rows with a null id stay; rows of one id are one document; other columns are carried.
+or two words is one shingle; rows with a null id stay; equal rows are one document and stand or fall together; several texts of one id
+are several documents: of a group that holds two of them the one of the smaller text hash counts as the smaller; other columns are carried.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .runtime import Scratch, anti_ids, maybe_broadcast, with_ids
+from .runtime import GROUPS, Scratch, by_part, maybe_broadcast, text_key, with_ids, within, without
 
 SHINGLE, HASHES, BANDS, BITS, THRESHOLD = 3, 128, 42, 4, 0.5
 #: Three standard errors of an estimate: how far from the threshold it decides by itself.
 MARGIN = 0.15
-#: (hash, id) entries that one bucket task sorts.
+#: (hash, id) entries that are sorted at once.
 BUCKET_ROWS = 1_500_000
+#: Members of a bucket that are searched at once; larger buckets are searched by pairs of blocks.
+BLOCK = 4_000
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -87,6 +91,14 @@ def signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed, band
 
 
+def twins(m: np.ndarray) -> np.ndarray:
+    """16 bytes that are the same for texts of the same minima."""
+    h = np.zeros((len(m), 2), np.uint64) + np.array([1, 2], np.uint64)
+    for i in range(0, HASHES, 2):
+        h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + (m[:, i].astype(np.uint64) << np.uint64(32) | m[:, i + 1])[:, None])
+    return h
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Collision-corrected similarity of packed signatures, row by row (broadcast); eight words of 64 bits each."""
     x = a ^ b
@@ -100,12 +112,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, raw, off in K.chunks(b.column(1)):
+        for lo, hi, raw, off in K.chunks(b.column(2)):
             rows, m = minima(*shingles(raw, off))
             if len(rows):
                 sig, band = signatures(m)
-                size = np.arange(len(rows) + 1, dtype=np.int32) * 64
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows + lo)), pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(size.tobytes()), pa.py_buffer(sig.tobytes())]), K.lists(band.ravel().view(np.int64), np.full(len(rows), BANDS), pa.int64())], ["doc_id", "sig", "bands"])
+                take = pa.array(rows + lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), K.fixed(sig), K.fixed(twins(m)), K.lists(band.ravel().view(np.int64), np.full(len(rows), BANDS), pa.int64())], ["doc_id", "x", "sig", "twin", "bands"])
 
 
 def _scatter(parts: int):
@@ -125,25 +137,32 @@ def _scatter(parts: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: all entries of some parts to the member lists of buckets with two members or more."""
-    h, ids = [], []
-    for b in batches:
-        h.append(b.column(1).flatten().to_numpy())
-        ids.append(b.column(2).flatten().to_numpy())
-    if not h:
-        return
-    h, ids = np.concatenate(h), np.concatenate(ids)
-    order = np.lexsort((ids, h))
-    h, ids = h[order], ids[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-    h, ids = h[fresh], ids[fresh]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    n = np.diff(np.append(new, len(h)))
-    many = np.repeat(n > 1, n)
-    if many.any():
-        yield pa.RecordBatch.from_arrays([K.lists(ids[many], n[n > 1], pa.int64())], ["members"])
+def _blocks(members: np.ndarray, block: int) -> list[np.ndarray]:
+    """A bucket's members; those of a large one as all pairs of its blocks, so that any two members meet in one."""
+    if len(members) <= block:
+        return [members]
+    part = np.array_split(members, -(-len(members) // (block // 2)))
+    return [np.concatenate([part[i], part[j]]) for j in range(len(part)) for i in range(j)]
+
+
+def _buckets(block: int):
+    """mapInArrow body: the entries of some parts to the member lists of buckets with two members or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in K.groups(batches):
+            h, ids = K.gather(rows, [np.int64, np.int64])
+            order = np.lexsort((ids, h))
+            h, ids = h[order], ids[order]
+            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(new, len(h)))
+            few = (n > 1) & (n <= block)
+            if few.any():
+                yield pa.RecordBatch.from_arrays([K.lists(ids[np.repeat(few, n)], n[few], pa.int64())], ["members"])
+            for at, size in zip(new[n > block].tolist(), n[n > block].tolist()):
+                for pair in _blocks(ids[at : at + size], block):
+                    yield pa.RecordBatch.from_arrays([K.lists(pair, np.array([len(pair)]), pa.int64())], ["members"])
+
+    return run
 
 
 def _link(ids: np.ndarray, sig: np.ndarray, threshold: float, low: float | None = None, unsure: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -209,16 +228,16 @@ def _verify(threshold: float, margin: float = MARGIN):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: (doc_id, text) to (doc_id, sorted distinct shingle hashes)."""
+    """mapInArrow body: (doc_id, x, text) to (doc_id, x, sorted distinct shingle hashes)."""
     for b in batches:
-        for lo, hi, raw, off in K.chunks(b.column(1)):
-            x, at = shingles(raw, off)
+        for lo, hi, raw, off in K.chunks(b.column(2)):
+            s, at = shingles(raw, off)
             own = np.repeat(np.arange(hi - lo), np.diff(at))
-            order = np.lexsort((x, own))
-            x, own = x[order], own[order]
-            fresh = np.ones(len(x), bool)
-            fresh[1:] = (x[1:] != x[:-1]) | (own[1:] != own[:-1])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), K.lists(x[fresh].view(np.int32), np.bincount(own[fresh], minlength=hi - lo), pa.int32())], ["doc_id", "x"])
+            order = np.lexsort((s, own))
+            s, own = s[order], own[order]
+            fresh = np.ones(len(s), bool)
+            fresh[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), K.lists(s[fresh].view(np.int32), np.bincount(own[fresh], minlength=hi - lo), pa.int32())], ["doc_id", "x", "s"])
 
 
 def _similar(threshold: float):
@@ -242,47 +261,65 @@ def _similar(threshold: float):
     return run
 
 
-def _decided(docs: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose texts' shingles have a Jaccard similarity of at least ``threshold``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(maybe_broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
-    # rows of one id are one document: any of them that is like a row of the other decides
-    sets = scratch.table(texts.mapInArrow(_sets, "doc_id long, x array<int>"), "sets")
-    a, b = sets.toDF("a", "xa"), sets.toDF("b", "xb")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", "xa", "xb")
-    return met.mapInArrow(_similar(threshold), "a long, b long").distinct()
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("x"), F.lower("text").alias("text"))
+
 
+def _decided(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of nodes whose texts' shingles have a Jaccard similarity of at least ``threshold``."""
+    asked = scratch.table(nodes.join(maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node"), "asked")
+    sets = _keyed(within(docs, asked)).mapInArrow(_sets, "doc_id long, x long, s array<int>").dropDuplicates(["doc_id", "x"])
+    sets = scratch.table(asked.join(sets, ["doc_id", "x"]).select("node", "s"), "sets")
+    a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    return met.mapInArrow(_similar(threshold), "a long, b long")
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, keep_id) of each document that is in a group of near duplicates and isn't its smallest id."""
+
+def near_copies(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, x, keep_id) of each document that is in a group of near duplicates and isn't its smallest.
+
+    ``x`` is the hash of the document's text; ``keep_id`` is the id of the smallest, which may be another text of the same id.
+    """
     scratch = Scratch(docs.sparkSession, "near")
-    texts = with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    signed = scratch.table(texts.mapInArrow(_sign, "doc_id long, sig binary, bands array<long>"), "signed")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // BUCKET_ROWS))
-    packed = signed.select("doc_id", "bands").mapInArrow(_scatter(parts), "part int, hash array<long>, ids array<long>")
-    buckets = scratch.table(packed.repartition(parts, "part").mapInArrow(_buckets, "members array<long>").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    members = buckets.select("bucket", F.explode("members").alias("doc_id"))
-    gathered = members.join(signed.select("doc_id", "sig"), "doc_id").groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "sig")).alias("m"))
+    signs = _keyed(with_ids(docs)).mapInArrow(_sign, "doc_id long, x long, sig binary, twin binary, bands array<long>")
+    signed = scratch.table(signs.withColumn("node", F.monotonically_increasing_id()), "signed")  # written, so that a row's node stays
+    lead = scratch.table(signed.groupBy("twin").agg(F.min(F.struct("doc_id", "x", "node")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("twin", "lead"), "lead")
+    twin = scratch.table(signed.select("twin", "doc_id", "x", "node").join(maybe_broadcast(lead), "twin").filter("node <> lead.node").select("doc_id", "x", "node", "lead"), "twins")
+    firsts = without(signed.select(F.col("node").alias("doc_id"), "x", "bands"), twin.select(F.col("node").alias("doc_id"), "x"), F.col("x"))
+    parts = min(GROUPS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // BUCKET_ROWS)))
+    packed = firsts.select("doc_id", "bands").mapInArrow(_scatter(parts), "part int, hash array<long>, ids array<long>")
+    buckets = scratch.table(by_part(packed, parts).mapInArrow(_buckets(block), "members array<long>").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    members = buckets.select("bucket", F.explode("members").alias("node"))
+    gathered = members.join(signed.select("node", "sig"), "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "sig")).alias("m"))
     pairs = scratch.table(gathered.select("m").mapInArrow(_verify(threshold), "a long, b long, sure boolean").distinct(), "pairs")
     sure, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("NOT sure").select("a", "b")
-    if not unsure.limit(1).count():
-        return components(sure, scratch)
     group = components(sure, scratch)
-    for c in ("a", "b"):  # pairs that other links join need no decision
-        unsure = unsure.join(group.select(F.col("doc_id").alias(c), F.col("keep_id").alias(f"g{c}")), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
-    open_ = scratch.table(unsure.filter("ga <> gb").select("a", "b"), "open")
-    edges = scratch.table(sure.unionByName(_decided(texts, open_, threshold, scratch)).distinct(), "edges")
-    return components(edges, scratch)
+    if unsure.limit(1).count():
+        for c in ("a", "b"):  # pairs that other links join need no decision
+            unsure = unsure.join(group.select(F.col("v").alias(c), F.col("label").alias(f"g{c}")), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
+        open_ = scratch.table(unsure.filter("ga <> gb").select("a", "b"), "open")
+        edges = scratch.table(sure.unionByName(_decided(docs, signed.select("node", "doc_id", "x"), open_, threshold, scratch)).distinct(), "edges")
+        group = components(edges, scratch)
+    # Nodes become documents again; the smallest of a group stays, and twins follow the first of them
+    own = F.struct("doc_id", "x")
+    grouped = scratch.table(signed.select("node", "doc_id", "x").join(maybe_broadcast(group.select(F.col("v").alias("node"), "label")), "node"), "grouped")
+    best = scratch.table(grouped.groupBy("label").agg(F.min(own).alias("best")), "best")
+    placed = scratch.table(grouped.join(maybe_broadcast(best.select("label", "best.doc_id", "best.x").toDF("label", "keep_id", "keep_x")), "label").select("node", "doc_id", "x", "keep_id", "keep_x"), "placed")
+    over = placed.select(F.col("node").alias("first"), "keep_id", "keep_x")
+    follow = twin.select("doc_id", "x", F.col("lead.node").alias("first"), F.col("lead.doc_id").alias("lead_id"), F.col("lead.x").alias("lead_x"))
+    follow = follow.join(maybe_broadcast(over), "first", "left").select("doc_id", "x", F.coalesce("keep_id", "lead_id").alias("keep_id"), F.coalesce("keep_x", "lead_x").alias("keep_x"))
+    found = placed.drop("node").unionByName(follow).filter("doc_id <> keep_id OR x <> keep_x")
+    return scratch.table(found.select("doc_id", "x", "keep_id").distinct(), "found")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of the smallest id."""
-    return anti_ids(docs, near_copies(docs, threshold))
+    """``docs`` with one document of each group of near duplicates: the smallest, by id and then by the hash of its text."""
+    return without(docs, near_copies(docs, threshold))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that nearly repeats one of a smaller id, with the smallest id of its group."""
-    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "keep_id").filter("doc_id <> keep_id").distinct()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

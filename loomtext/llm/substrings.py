@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import Scratch, maybe_broadcast, with_ids
+from .runtime import GROUPS, Scratch, attach, by_part, maybe_broadcast, with_ids
 
 LEAST, GRAM, WINDOW = 50, 10, 20
-#: Documents whose edges (or runs) meet in one task, on average.
+#: Documents whose edges (or runs) are sorted together, on average.
 PART_DOCS = 4_000
 LONG, INT, SHORT = pa.int64(), pa.int32(), pa.int16()
 
@@ -107,17 +107,18 @@ def _repeated(parts: int):
     """mapInArrow body: edges by content to those that occur twice, with their number, scattered by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = K.gather(batches, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16])
-        order = np.lexsort((c[3], c[2], c[1], c[0]))
-        c = [x[order] for x in c]
-        one = _fresh(*c[:4])
-        c = [x[one] for x in c]
-        n = _sizes(_fresh(c[0]), len(c[0]))
-        n = np.repeat(n, n)
-        many = n > 1
-        if many.any():
-            c = [x[many] for x in c]
-            yield K.scatter(doc_key(c[1], c[2]), parts, [(x, t) for x, t in zip(c, (LONG, LONG, INT, INT, SHORT, SHORT, SHORT))] + [(n[many].astype(np.int32), INT)])
+        for rows in K.groups(batches):
+            c = K.gather(rows, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16])
+            order = np.lexsort((c[3], c[2], c[1], c[0]))
+            c = [x[order] for x in c]
+            one = _fresh(*c[:4])
+            c = [x[one] for x in c]
+            n = _sizes(_fresh(c[0]), len(c[0]))
+            n = np.repeat(n, n)
+            many = n > 1
+            if many.any():
+                c = [x[many] for x in c]
+                yield K.scatter(doc_key(c[1], c[2]), parts, [(x, t) for x, t in zip(c, (LONG, LONG, INT, INT, SHORT, SHORT, SHORT))] + [(n[many].astype(np.int32), INT)])
 
     return run
 
@@ -129,29 +130,28 @@ def _paths(k: int, least: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = K.gather(batches, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16, np.int32])
-        if not len(c[0]):
-            return
-        order = np.lexsort((c[3], c[2], c[1]))
-        edge, doc, row, at, gap, back, ahead, n = (x[order].astype(np.int64) for x in c)
-        apart = _fresh(doc, row)
-        apart[1:] |= at[1:] != at[:-1] + gap[:-1]
-        end = at + gap + k
-        s = np.flatnonzero(apart)
-        e = np.append(s[1:], len(at)) - 1
-        lo, hi = np.maximum(at[s] - back[s], np.maximum(end[s] - least, 0)), np.minimum(end[e] + ahead[e], at[e] + least)
-        room = hi - lo >= least
-        step = apart.copy()
-        step[1:] |= n[1:] != n[:-1]
-        p = np.flatnonzero(step)
-        q = np.append(p[1:], len(at))
-        long = end[q - 1] - at[p] >= least
-        p, q = p[long], q[long]
-        h = hashes(K.mix(edge.view(np.uint64)), p, q).view(np.int64)
-        r = s[room]
-        null = np.concatenate([np.ones(len(r), bool), np.zeros(len(p), bool)])
-        join = lambda x, y, t: pa.array(np.concatenate([x, y]), t)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(r), np.int64), h]), mask=null), join(n[r], n[p], LONG), join(doc[r], doc[p], LONG), join(row[r].astype(np.int32), row[p].astype(np.int32), INT), join(lo[room], at[p], INT), join(hi[room], end[q - 1], INT)], ["hash", "n", "doc_id", "row", "a", "z"])
+        for rows in K.groups(batches):
+            c = K.gather(rows, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16, np.int32])
+            order = np.lexsort((c[3], c[2], c[1]))
+            edge, doc, row, at, gap, back, ahead, n = (x[order].astype(np.int64) for x in c)
+            apart = _fresh(doc, row)
+            apart[1:] |= at[1:] != at[:-1] + gap[:-1]
+            end = at + gap + k
+            s = np.flatnonzero(apart)
+            e = np.append(s[1:], len(at)) - 1
+            lo, hi = np.maximum(at[s] - back[s], np.maximum(end[s] - least, 0)), np.minimum(end[e] + ahead[e], at[e] + least)
+            room = hi - lo >= least
+            step = apart.copy()
+            step[1:] |= n[1:] != n[:-1]
+            p = np.flatnonzero(step)
+            q = np.append(p[1:], len(at))
+            long = end[q - 1] - at[p] >= least
+            p, q = p[long], q[long]
+            h = hashes(K.mix(edge.view(np.uint64)), p, q).view(np.int64)
+            r = s[room]
+            null = np.concatenate([np.ones(len(r), bool), np.zeros(len(p), bool)])
+            join = lambda x, y, t: pa.array(np.concatenate([x, y]), t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(r), np.int64), h]), mask=null), join(n[r], n[p], LONG), join(doc[r], doc[p], LONG), join(row[r].astype(np.int32), row[p].astype(np.int32), INT), join(lo[room], at[p], INT), join(hi[room], end[q - 1], INT)], ["hash", "n", "doc_id", "row", "a", "z"])
 
     return run
 
@@ -191,15 +191,16 @@ def _twice(parts: int):
     """mapInArrow body: runs by content to those that occur twice, scattered by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = K.gather(batches, [np.int64, np.int64, np.int32, np.int32])
-        order = np.lexsort((c[3], c[2], c[1], c[0]))
-        c = [x[order] for x in c]
-        one = _fresh(*c)
-        c = [x[one] for x in c]
-        n = _sizes(_fresh(c[0]), len(c[0]))
-        many = np.repeat(n > 1, n)
-        if many.any():
-            yield K.scatter(doc_key(c[1][many], c[2][many]), parts, [(c[1][many], LONG), (c[2][many], INT), (c[3][many], INT)])
+        for rows in K.groups(batches):
+            c = K.gather(rows, [np.int64, np.int64, np.int32, np.int32])
+            order = np.lexsort((c[3], c[2], c[1], c[0]))
+            c = [x[order] for x in c]
+            one = _fresh(*c)
+            c = [x[one] for x in c]
+            n = _sizes(_fresh(c[0]), len(c[0]))
+            many = np.repeat(n > 1, n)
+            if many.any():
+                yield K.scatter(doc_key(c[1][many], c[2][many]), parts, [(c[1][many], LONG), (c[2][many], INT), (c[3][many], INT)])
 
     return run
 
@@ -208,16 +209,15 @@ def _join_runs(least: int):
     """mapInArrow body: repeated runs by document to the spans (doc_id, row, a, z) that they cover together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, row, at = K.gather(batches, [np.int64, np.int32, np.int32])
-        if not len(doc):
-            return
-        order = np.lexsort((at, row, doc))
-        doc, row, at = doc[order], row[order], at[order]
-        new = _fresh(doc, row)
-        new[1:] |= at[1:] > at[:-1] + least
-        s = np.flatnonzero(new)
-        e = np.append(s[1:], len(at)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(row[s]), pa.array(at[s]), pa.array(at[e] + np.int32(least))], ["doc_id", "row", "a", "z"])
+        for rows in K.groups(batches):
+            doc, row, at = K.gather(rows, [np.int64, np.int32, np.int32])
+            order = np.lexsort((at, row, doc))
+            doc, row, at = doc[order], row[order], at[order]
+            new = _fresh(doc, row)
+            new[1:] |= at[1:] > at[:-1] + least
+            s = np.flatnonzero(new)
+            e = np.append(s[1:], len(at)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(row[s]), pa.array(at[s]), pa.array(at[e] + np.int32(least))], ["doc_id", "row", "a", "z"])
 
     return run
 
@@ -228,11 +228,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = GRAM, w: int =
         raise ValueError("k + 2 w - 1 must not exceed the least length")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_DOCS))
+    parts = min(GROUPS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_DOCS)))
     text = with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), F.lower("text").alias("text"))
     edges = text.mapInArrow(_edges(k, w, parts), _EDGES)
-    repeated = edges.repartition(parts, "part").mapInArrow(_repeated(parts), _EDGES + ", c7 array<int>")
-    found = scratch.table(repeated.repartition(parts, "part").mapInArrow(_paths(k, least), "hash long, n long, doc_id long, row int, a int, z int"), "paths")
+    repeated = by_part(edges, parts).mapInArrow(_repeated(parts), _EDGES + ", c7 array<int>")
+    found = scratch.table(by_part(repeated, parts).mapInArrow(_paths(k, least), "hash long, n long, doc_id long, row int, a int, z int"), "paths")
     key = ["doc_id", "row"]
     paths = found.filter("hash IS NOT NULL")
     whole = paths.groupBy("hash", "n").agg(F.count("*").alias("equal")).filter("equal = n").select("hash")
@@ -241,10 +241,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = GRAM, w: int =
     regions = found.filter("hash IS NULL").groupBy(*key).agg(F.collect_list(F.struct("a", "z")).alias("regions"))
     certain = sure.groupBy(*key).agg(F.collect_list(F.struct("a", "z")).alias("sure"))
     spans = scratch.table(regions.join(certain, key, "left").select(*key, "regions", F.coalesce("sure", F.array().cast("array<struct<a:int,z:int>>")).alias("sure")), "spans")
-    reread = text.join(maybe_broadcast(spans), key).select(*key, "text", "regions", "sure")
+    reread = attach(docs.select("doc_id", "text"), spans.withColumnRenamed("row", "x"), F.hash("text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), F.lower("text").alias("text"), "regions", "sure")
     runs = reread.mapInArrow(_runs(least, parts), "part int, c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>")
-    twice = runs.repartition(parts, "part").mapInArrow(_twice(parts), "part int, c0 array<long>, c1 array<int>, c2 array<int>")
-    read = twice.repartition(parts, "part").mapInArrow(_join_runs(least), "doc_id long, row int, a int, z int")
+    twice = by_part(runs, parts).mapInArrow(_twice(parts), "part int, c0 array<long>, c1 array<int>, c2 array<int>")
+    read = by_part(twice, parts).mapInArrow(_join_runs(least), "doc_id long, row int, a int, z int")
     order = Window.partitionBy(*key).orderBy("a", "z")
     reached = F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = read.unionByName(sure).withColumn("new", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))

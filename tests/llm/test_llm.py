@@ -208,6 +208,41 @@ def test_near_copies_of_all_lengths_and_chains(make):
     assert got == {11: 10, 12: 10, 13: 10, 2: 1, 4: 3}
 
 
+def test_near_copies_of_repeated_ids(make):
+    """No text goes whose only fault is that its id has another, copied text."""
+    a, b, c = prose(31, 100), prose(32, 100), prose(33, 100)
+    docs = make([(5, a), (3, changed(a, 0.02, 1)), (5, b), (9, changed(b, 0.02, 2)), (9, c), (9, c), (7, prose(34, 60)), (5, a)])
+    assert {(r["doc_id"], r["keep_id"]) for r in near_dedup.near_copies(docs).collect()} == {(5, 3), (9, 5)}
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(docs).collect())
+    assert kept == Counter({(3, changed(a, 0.02, 1)): 1, (5, b): 1, (9, c): 2, (7, prose(34, 60)): 1})
+    same = make([(1, a), (1, changed(a, 0.02, 1)), (2, a.upper())])
+    assert near_dedup.drop_near_copies(same).count() == 1
+
+
+@pytest.mark.parametrize("block", [4, 10, 4_000])
+def test_large_buckets_by_blocks(make, block):
+    """A family of alike texts and one of equal ones, whatever a bucket holds at once."""
+    base = prose(77, 120)
+    rows = [(i, changed(base, 0.01, i)) for i in range(40)] + [(100 + i, prose(78, 50)) for i in range(30)] + [(200 + i, prose(300 + i, 60)) for i in range(20)]
+    got = {r["doc_id"]: r["keep_id"] for r in near_dedup.near_copies(make(rows), block=block).collect()}
+    assert got == {**{i: 0 for i in range(1, 40)}, **{100 + i: 100 for i in range(1, 30)}}
+
+
+def test_blocks_hold_every_pair():
+    for n, block in ((5, 2), (9, 4), (100, 10), (3, 4)):
+        met = {frozenset(p) for m in near_dedup._blocks(np.arange(n), block) for p in itertools.combinations(m.tolist(), 2)}
+        assert len(met) == n * (n - 1) // 2 and all(len(m) <= block for m in near_dedup._blocks(np.arange(n), block))
+
+
+def test_boilerplate_in_every_document(make):
+    """A passage that all documents share: found in each, and no document is taken for another's copy."""
+    shared = prose(55, 60)
+    rows = [(i, prose(400 + i, 200) + " " + shared + " " + prose(700 + i, 150)) for i in range(60)]
+    assert near_dedup.near_copies(make(rows)).count() == 0
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substrings.repeated_spans(make(rows)).collect()}
+    assert got == {(i, 200, 260) for i in range(60)}
+
+
 # --- 2 chat
 
 
@@ -351,6 +386,15 @@ def test_shortest_passage(make, spark):
     assert {r["doc_id"] for r in decontaminate.shared_passages(make(rows), items).collect()} == {8, 9, 10, 11}
 
 
+def test_repeated_ids_of_documents_and_items(spark):
+    docs = spark.createDataFrame([(1, prose(900, 40)), (1, prose(901, 50) + " " + prose(3, 20)), (1, prose(900, 40)), (2, prose(3, 30)), (2, prose(3, 30))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, prose(3, 20), "a"), (7, prose(903, 20), "b"), (7, prose(3, 20), "c"), (8, None, "d")], "item_id long, text string, doc_id string")
+    for most in (decontaminate.FILTER_HASHES, 0):
+        got = sorted(tuple(r) for r in decontaminate.shared_passages(docs, items, filter_hashes=most).collect())
+        assert got == [(1, 7, 50, 0, 20), (2, 7, 0, 0, 20)]
+        assert [r["text"] for r in decontaminate.decontaminate(docs, items, filter_hashes=most).collect()] == [prose(900, 40)] * 2
+
+
 # --- 7 exact duplicates
 
 
@@ -366,6 +410,80 @@ def test_copies_by_brute_force(spark, fan, size):
     assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.copies(docs, fan, size).collect()} == want
 
 
+ROWS = [(5, "BBB"), (9, "BBB"), (5, "AAA"), (7, "CCC"), (3, "AAA"), (8, "DDD")]
+
+
+def test_an_id_of_two_texts_is_two_documents(make):
+    docs = make(ROWS).repartition(2)
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_dedup.copies(docs).collect()} == {(9, 5), (5, 3)}
+    assert {(r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(docs).collect()} == {(5, "BBB"), (3, "AAA"), (7, "CCC"), (8, "DDD")}
+
+
+@pytest.mark.parametrize("seed,partitions", [(1, 1), (2, 2), (3, 23), (4, 23)])
+def test_repeated_ids_and_rows_against_sql(spark, tmp_path, seed, partitions):
+    """Ids of several texts and repeated rows: the query is its SQL, row by row, and no text is lost."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), f"text {t}" if t else None) for i, t in zip(rng.integers(0, 40, 300), rng.integers(0, 60, 300))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    want = sorted(duckdb.sql(exact_dedup.ORACLE.replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall())
+    assert sorted(map(tuple, exact_dedup.op7_exact_dedup(spark, str(tmp_path)).collect())) == want
+    kept = exact_dedup.drop_copies(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    least = {t: min(i for i, u in rows if u == t) for _, t in rows}
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((i, t) for i, t in rows if t is None or least[t] == i)
+
+
+# --- the other side of each size switch
+
+
+@pytest.fixture()
+def nothing_is_small(monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(runtime, "ROUTE_BYTES", 256)
+    monkeypatch.setattr(runtime, "PARTITIONS", 3)
+
+
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op6_decontaminate", "op7_exact_dedup", "op8_substring_dedup", "op10_best_fit_packing"])
+def test_same_result_when_nothing_is_broadcast(name, spark, sf, monkeypatch):
+    want = sorted(map(tuple, queries.QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(runtime, "ROUTE_BYTES", 256)
+    monkeypatch.setattr(runtime, "PARTITIONS", 3)
+    assert sorted(map(tuple, queries.QUERIES[name](spark, sf).collect())) == want
+
+
+def test_filters_by_large_lists_move_no_text(spark, sf, tmp_path, nothing_is_small):
+    """A large list goes to the files of its documents: no Exchange over the table itself."""
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(7).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    listed = docs.filter("doc_id % 3 = 0").select("doc_id", runtime.text_key().alias("x"))
+    other = spark.createDataFrame([(1, 7), (0, 8)], "doc_id long, x long")  # another text of these ids
+    for f, keep in ((runtime.without, lambda i: i % 3), (runtime.within, lambda i: not i % 3)):
+        got = f(docs, listed.unionByName(other))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in docs.collect() if keep(r["doc_id"])}
+    more = listed.withColumn("list", F.array(F.struct(F.col("doc_id").cast("int").alias("a"))))
+    got = runtime.attach(docs.select("doc_id", "text"), more)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["list"][0]["a"]) for r in got.collect()} == {(i, i) for i in range(200) if i % 3 == 0 and i in {r["doc_id"] for r in docs.collect()}}
+
+
+def test_filters_of_tables_that_are_not_files(make, nothing_is_small):
+    docs = make(ODD + ROWS)
+    assert exact_dedup.drop_copies(docs).count() == len(ODD) + 4
+    assert {None, 1, 2} <= {r["doc_id"] for r in near_dedup.drop_near_copies(docs).collect()}
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=40), st.integers(1, 7))
+def test_groups_of_a_sorted_partition(parts, size):
+    parts = sorted(parts)
+    rows = [pa.RecordBatch.from_arrays([pa.array(parts[i : i + size], pa.int32()), pa.array([[p] for p in parts[i : i + size]], pa.list_(pa.int64()))], ["part", "c0"]) for i in range(0, len(parts), size)]
+    got = [kernels.gather(g, [np.int64])[0].tolist() for g in kernels.groups(iter(rows))]
+    assert got == [list(g) for _, g in itertools.groupby(parts)]
+
+
 # --- 8 repeated substrings
 
 
