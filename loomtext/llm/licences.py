@@ -3,19 +3,19 @@
 One automaton finds notice phrases (leftmost, longest) in the whole text, in which white space is evened out and
 case ignored, and the tag "SPDX-License-Identifier:".  The expression after a tag, to the end of its line, is
 parsed with the precedence WITH > AND > OR and evaluated: AND binds a user to the stricter side, OR lets
-the milder be chosen, and a known exception (WITH) softens copyleft by one step.  All findings of a document hold
-at once, as if joined by AND.
+the milder be chosen, and a known exception (WITH, between two identifiers) softens copyleft by one step.  All findings of a
+document hold at once, as if joined by AND.
 
-Cases: null and empty texts have no findings; documents without findings have no row; malformed expressions and
-unknown identifiers count as "unknown", the strictest; a repeated finding is listed once; a null id is
-reported as null; repeated rows give repeated results; other columns are ignored.
+Cases: null and empty texts have no findings; documents without findings have no row; malformed expressions (a WITH beside a parenthesis
+is one) and unknown identifiers count as "unknown", the strictest; texts and expressions of any length are read whole; a
+repeated finding is listed once; a null id is reported as null; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +68,10 @@ def postfix(expression: str) -> list[str] | None:
     """Shunting-yard: the expression's tokens in postfix order, or None if it is malformed."""
     out: list[str] = []
     stack: list[str] = []
-    operand = False
+    operand, last = False, ""  # last: "id", "exception", "WITH" or another token
     for t in _TOKEN.findall(expression):
+        if last == "WITH" and (t in "()" or t.upper() in _ORDER):
+            return None
         if t == "(":
             if operand:
                 return None
@@ -83,44 +85,51 @@ def postfix(expression: str) -> list[str] | None:
                 return None
             stack.pop()
         elif t.upper() in _ORDER:
-            if not operand:
+            t = t.upper()
+            if not operand or (t == "WITH" and last != "id"):
                 return None
-            while stack and _ORDER.get(stack[-1], 0) >= _ORDER[t.upper()]:
+            while stack and _ORDER.get(stack[-1], 0) >= _ORDER[t]:
                 out.append(stack.pop())
-            stack.append(t.upper())
+            stack.append(t)
             operand = False
         elif operand or not re.fullmatch(r"[A-Za-z0-9.+\-:]+", t):
             return None
         else:
             out.append(t)
-            operand = True
+            operand, t = True, "exception" if last == "WITH" else "id"
+        last = t
     if not operand or "(" in stack:
         return None
     return out + stack[::-1]
 
 
-@cache
-def evaluate(expression: str) -> tuple[tuple[str, ...], int]:
-    """(identifiers named, level) of an expression."""
+def _evaluate(expression: str) -> tuple[tuple[str, ...], int]:
     tokens = postfix(expression)
     if tokens is None:
         return (), 5
-    stack: list[tuple[int, str]] = []
-    names: list[str] = []
+    stack: list[int] = []
+    names: list[tuple[str, str]] = []
     for t in tokens:
-        if t in _ORDER:
-            (b, b_name), (a, a_name) = stack.pop(), stack.pop()
-            if t == "WITH":
-                known = b_name.lower() in EXCEPTIONS
-                names.remove(b_name)
-                stack.append((max(0, a - 1) if known and a in (1, 2) else a if known else 5, a_name))
-            else:
-                stack.append((max(a, b) if t == "AND" else min(a, b), ""))
+        if t == "WITH":
+            stack.pop()
+            known, a = names.pop()[1].lower() in EXCEPTIONS, stack.pop()
+            stack.append((max(0, a - 1) if a in (1, 2) else a) if known else 5)
+        elif t in _ORDER:
+            b, a = stack.pop(), stack.pop()
+            stack.append(max(a, b) if t == "AND" else min(a, b))
         else:
             name, level = LEVEL.get(t.lower().removesuffix("+"), (t, 5))
-            names.append(name)
-            stack.append((level, name))
-    return tuple(sorted(set(names))), stack[0][0]
+            names.append((name, t))
+            stack.append(level)
+    return tuple(sorted({n for n, _ in names})), stack[0]
+
+
+_remembered = lru_cache(1 << 12)(_evaluate)
+
+
+def evaluate(expression: str) -> tuple[tuple[str, ...], int]:
+    """(identifiers named, level) of an expression.  A bounded number of short ones is remembered."""
+    return _remembered(expression) if len(expression) < 200 else _evaluate(expression)
 
 
 @cache
@@ -173,5 +182,33 @@ def licences(docs: DataFrame) -> DataFrame:
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence findings over all documents."""
-    return licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Licence findings over all documents, lists joined by commas."""
+    found = licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumns({c: F.array_join(c, ", ") for c in ("licences", "expressions")})
+
+
+def _oracle() -> str:
+    """All notices, and tags that name one identifier; expressions with operators are beyond it and tested by brute force."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    longest = sorted(NOTICES, key=lambda p: (-len(p), p))  # the first alternative that fits is the longest
+    pattern = "(" + "|".join(re.sub(r"([.+()])", r"\\\1", p) for p in longest) + ")"
+    rows = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(n)}, {level})" for a, n, level in pairs)
+    notices = rows((p, n, LEVEL[n.lower()][1]) for p, n in NOTICES.items())
+    known = rows((low, n, level) for low, (n, level) in LEVEL.items())
+    return f"""
+WITH l AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS low FROM documents WHERE text IS NOT NULL),
+ m AS (SELECT doc_id, string_split(regexp_replace(low, {quoted(pattern)}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM l),
+ h AS (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i FROM m),
+ f AS (SELECT doc_id, string_split(p[i], chr(2))[1] AS phrase, right(replace(p[i - 1], chr(2), ''), 1) AS a, left(string_split(p[i], chr(2))[2] || coalesce(p[i + 1], ''), 1) AS z FROM h),
+ n AS (SELECT doc_id, name, level, NULL AS e FROM f JOIN (VALUES {notices}) v(phrase, name, level) USING (phrase) WHERE NOT regexp_matches(a, '[\\pL\\pN]') AND NOT regexp_matches(z, '[\\pL\\pN]')),
+ g AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)spdx-license-identifier:[ \\t]*([^\\n]*)', 1)) AS raw FROM l),
+ t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(raw, '\\*/|-->|[#;"'']', ' ', 'g'), '\\s+', ' ', 'g')) AS e FROM g),
+ k AS (SELECT doc_id, CASE WHEN regexp_full_match(e, '[A-Za-z0-9.+:-]+') AND upper(e) NOT IN ('AND', 'OR', 'WITH') THEN coalesce(name, e) END AS name, coalesce(level, 5) AS level, e FROM t LEFT JOIN (VALUES {known}) v(low, name, level) ON low = regexp_replace(lower(e), '\\+$', '')),
+ u AS (SELECT * FROM n UNION ALL SELECT * FROM k)
+SELECT doc_id, coalesce(string_agg(DISTINCT name, ', ' ORDER BY name), '') AS licences, coalesce(string_agg(DISTINCT e, ', ' ORDER BY e), '') AS expressions,
+ [{", ".join(map(quoted, LEVELS))}][max(level) + 1] AS category, max(level) <= {PERMITTED} AS permitted
+FROM u GROUP BY doc_id
+"""
+
+
+ORACLE = _oracle()

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat.ORACLE,
+    "op5_licence_scan": licences.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
