@@ -9,7 +9,8 @@ first, largest class first, on counts of like bins rather than on single pieces.
 Only the histogram (128 counts) and the plan come to the driver.  A piece finds its bin by its rank
 in its class; ranks are counted in salted groups, so no class is sorted in one task.
 
-Cases: null and empty texts have no words and aren't packed; a null id is packed like any other; repeated rows
+Cases: null and empty texts, and those without a letter or digit ("!!! ???"), have no words and aren't packed (a tokenizer
+counts what it finds there); texts of any length are cut into as many pieces as they need; a null id is packed like any other; repeated rows
 are pieces of their own; equal lengths are ranked by id and chunk; an empty table gives an empty result.
 """
 
