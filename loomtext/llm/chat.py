@@ -9,7 +9,8 @@ which are written out as one conversation each.  Texts join last.  Every round i
 Cases: a message whose parent is missing or null is a root; messages that are their own ancestors have no root and
 aren't formatted; equal rows are one message; several messages of one (tree, id) are one node, of which the
 smallest (parent, role, text) counts; null ids of tree or message drop the row; a null text is empty, a null role is
-"unknown", a null score is 0; an empty table gives an empty result; other columns are ignored.
+"unknown", a null score is 0; threads and texts of any length are written out whole (a branch is one string, so of 2 GB at most); an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,9 +70,13 @@ def format_trees(messages: DataFrame, best: int | None = BEST) -> DataFrame:
     clean = messages.filter("tree IS NOT NULL AND id IS NOT NULL").select("tree", "id", "parent", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
     nodes = scratch.table(clean.withColumn("nth", one).filter("nth = 1").drop("nth"), "nodes")
     ranked = paths(nodes.select("tree", "id", "parent", "score"), scratch, best)
-    chosen = ranked.select("tree", "branch_rank", "score", "leaf", F.posexplode("path").alias("pos", "id"))
+    # Messages and the places they have in branches meet in one shuffle by tree, in which the branches are put together, too
     said = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>\n"))
-    lines = chosen.join(nodes.select("tree", "id", said.alias("said")), ["tree", "id"])
+    place = F.struct("branch_rank", "leaf", "score", F.col("pos").cast("int").alias("pos"))
+    chosen = ranked.select("tree", "branch_rank", "score", "leaf", F.posexplode("path").alias("pos", "id")).select("tree", "id", place.alias("at"))
+    both = nodes.select("tree", "id", said.alias("said")).unionByName(chosen, allowMissingColumns=True).repartition("tree")
+    met = both.groupBy("tree", "id").agg(F.first("said", ignorenulls=True).alias("said"), F.collect_list("at").alias("at"))
+    lines = met.select("tree", "said", F.explode("at").alias("at")).select("tree", "said", "at.*")
     whole = lines.groupBy("tree", "branch_rank", "leaf", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("m"))
     return whole.select("tree", "branch_rank", "leaf", F.size("m").alias("n_messages"), "score", F.array_join(F.col("m.said"), "").alias("conversation"))
 
@@ -82,7 +87,7 @@ def from_conversations(conversations: DataFrame) -> DataFrame:
     A message answers the last earlier turn; several rows of a turn are alternative replies, numbered by role and
     text, and the next turn answers the first of them.  Its score is the number of its characters.
     """
-    rows = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
+    rows = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").repartition("conv_id").distinct()  # all below is by conversation
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.withColumn("id", F.row_number().over(order).cast("long"))
     first = F.min("id").over(Window.partitionBy("conv_id", "turn"))
