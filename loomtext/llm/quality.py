@@ -5,12 +5,13 @@ Standardised, they go through random Fourier features (cosines of random project
 approximate a Gaussian kernel).  The normal equations of ridge regression on the 0/1 label are summed in the
 partitions, for each of five folds apart; a fold's score comes from the sums of the other four.  Isotonic
 regression (pool adjacent violators, over a histogram of these out-of-fold scores) turns scores into
-probabilities.  All labelled rows count; only sums of fixed size come to the driver.
+probabilities.  At most ``FIT_LABELS`` labelled ids, chosen by a hash, are fitted on, so that their list can be broadcast and only
+their texts are described for it; only sums of fixed size come to the driver.  All documents are scored.
 
-Cases: a null text counts as empty; an empty text has statistics (zeros) and a score like any other; rows with a
-null id are scored, but can't be labelled; several labels of one document are averaged, null labels
-ignored; without any label, or with one kind only, every document scores that share (1 if there is none);
-repeated rows are scored alike; other columns are carried by the filter.
+Cases: a null text counts as empty; an empty text has statistics (zeros) and a score like any other; texts of any length are
+described whole; rows with a null id are scored, but can't be labelled; several labels of one document are averaged, null labels
+ignored; of an id of several texts each has its label; without any label, or with one kind only, every document scores that share (1 if
+there is none); repeated rows are scored alike; other columns are carried by the filter.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import Scratch, maybe_broadcast
+from .runtime import Scratch
 
 FEATURES, FOURIER, RIDGE, FOLDS, BINS, KEEP = 16, 255, 1e-3, 5, 2000, 0.5
+#: Labelled ids that the model is fitted on, at most.
+FIT_LABELS = 400_000
 #: Labelled rows for which one task sums the normal equations.
 FIT_ROWS = 50_000
 _KIND = np.full(256, 11, np.int64)
@@ -92,9 +95,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (text, y, fold) to (x, y, fold)."""
     for b in batches:
-        for lo, hi, raw, off in K.chunks(b.column(1)):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), K.lists(statistics(raw, off).ravel(), np.full(hi - lo, FEATURES), pa.float64())], ["doc_id", "x"])
+        for lo, hi, raw, off in K.chunks(b.column(0)):
+            yield pa.RecordBatch.from_arrays([K.lists(statistics(raw, off).ravel(), np.full(hi - lo, FEATURES), pa.float64()), *[c.slice(lo, hi - lo) for c in b.columns[1:]]], ["x", "y", "fold"])
 
 
 def _sums(mean: np.ndarray, scale: np.ndarray):
@@ -146,15 +150,23 @@ def _scored(mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
     return run
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, x array<double>")
-
-
-def fit(described: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
-    """The model of all labelled rows of ``described``; ``labels``: (doc_id, quality 0/1)."""
+def _labelled(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, y) of at most ``most`` labelled ids: those of the smallest hashes, if there are more."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    rows = scratch.table(described.join(maybe_broadcast(known), "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    n = known.count()
+    if n <= most:
+        return known
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("quality")), 1)
+    below = min(int(1.1 * most / n * (2**63 - 1)), 2**63 - 1)  # so that few are sorted
+    return known.filter(h <= F.lit(below)).orderBy(h, "doc_id").limit(most)
+
+
+def fit(train: DataFrame, labels: DataFrame, scratch: Scratch, fit_labels: int = FIT_LABELS) -> Model:
+    """The model of the labelled documents of ``train``; ``labels``: (doc_id, quality 0/1)."""
+    known = scratch.table(_labelled(labels, fit_labels), "known").withColumnRenamed("doc_id", "_known")
+    met = train.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("_known"))  # at most ``fit_labels`` rows
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = scratch.table(met.select("text", "y", fold).mapInArrow(_describe, "x array<double>, y double, fold int"), "labelled")
     moments = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[f(F.col("x")[i]).alias(f"{f.__name__}{i}") for i in range(FEATURES) for f in (F.avg, F.stddev_pop)]).first()
     if not moments["n"] or not 0 < moments["y"] < 1:
         share = 1.0 if not moments["n"] else float(moments["y"])
@@ -178,11 +190,13 @@ def fit(described: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
 
 
 def _apply(model: Model, keep: float):
+    """mapInArrow body: (doc_id, text) to (doc_id, quality_score, keep)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                p = model.probability(_matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(p >= keep)], ["doc_id", "quality_score", "keep"])
+            for lo, hi, raw, off in K.chunks(b.column(1)):
+                p = model.probability(statistics(raw, off))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(p), pa.array(p >= keep)], ["doc_id", "quality_score", "keep"])
 
     return run
 
@@ -199,17 +213,15 @@ def _filter(model: Model, keep: float, at: int):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, fit_labels: int = FIT_LABELS) -> DataFrame:
     """(doc_id, quality_score, keep) of every document: its probability of being good, learnt from ``labels``."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    described = scratch.table(describe(docs), "described")
-    return described.mapInArrow(_apply(fit(described, labels, scratch), keep), "doc_id long, quality_score double, keep boolean")
+    model = fit(docs, labels, Scratch(docs.sparkSession, "quality"), fit_labels)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_apply(model, keep), "doc_id long, quality_score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, train: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+def keep_good(docs: DataFrame, train: DataFrame, labels: DataFrame, keep: float = KEEP, fit_labels: int = FIT_LABELS) -> DataFrame:
     """The rows of ``docs`` that a model learnt from ``train`` and its ``labels`` accepts.  No row is moved."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(scratch.table(describe(train), "described"), labels, scratch)
+    model = fit(train, labels, Scratch(docs.sparkSession, "quality"), fit_labels)
     return docs.mapInArrow(_filter(model, keep, docs.columns.index("text")), docs.schema)
 
 
