@@ -115,9 +115,8 @@ def text_key() -> F.Column:
     return F.xxhash64("text")
 
 
-@lru_cache(2)
-def _listed(root: str, group: int) -> pa.Table | None:
-    """A group's listed documents, by id; read from the shared folder by the executor's Python."""
+def read_group(root: str, group: int) -> pa.Table | None:
+    """The rows of one group of a table written ``by="g"``, read from the shared folder by the executor's Python."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -125,8 +124,14 @@ def _listed(root: str, group: int) -> pa.Table | None:
     folder = f"{path}/g={group}"
     if system.get_file_info(folder).type == fs.FileType.NotFound:
         return None
-    t = pq.read_table(folder, filesystem=system, partitioning=None).combine_chunks()
-    return t.take(pa.array(np.lexsort((t["x"].to_numpy(), t["doc_id"].to_numpy()))))
+    return pq.read_table(folder, filesystem=system, partitioning=None).combine_chunks()
+
+
+@lru_cache(2)
+def _listed(root: str, group: int) -> pa.Table | None:
+    """A group's listed documents, by id."""
+    t = read_group(root, group)
+    return None if t is None else t.take(pa.array(np.lexsort((t["x"].to_numpy(), t["doc_id"].to_numpy()))))
 
 
 def _places(t: pa.Table, ids: np.ndarray, x: np.ndarray) -> np.ndarray:

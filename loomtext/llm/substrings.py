@@ -16,7 +16,9 @@ in whichever documents.  The result is every document's maximal runs of repeated
    texts at the coordinates are read again, every run of ``least`` words that isn't inside one such path is hashed, and
    those that occur twice count.  Equal runs hold equal edges, so both are found on the same side of this division.
 
-Between the steps, entries travel as packed arrays, a few rows for each task.
+Only counts travel.  Edges (and runs) stay in written blocks of whole documents; of each block the distinct ones go, with their
+number there, to the task that adds them up, and what occurs twice in the corpus comes back to the blocks that have it, as files that the
+scan of a block reads for itself.  An edge that every document has is one entry for each block, and no document is ever shuffled.
 
 Cases: texts of fewer than ``least`` words (null and empty ones, too) have no repeats; rows with a null id are left
 out; repeated rows (one id, one text) are one document; several texts of one id are several; a run repeated
@@ -26,6 +28,7 @@ inside one document counts; overlapping repeats become one span; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import GROUPS, Scratch, attach, by_part, maybe_broadcast, with_ids
+from .runtime import GROUPS, PARTITIONS, Scratch, attach, by_part, maybe_broadcast, read_group, text_key, with_ids, within, without
 
 LEAST, GRAM, WINDOW = 50, 10, 20
-#: Documents whose edges (or runs) are sorted together, on average.
-PART_DOCS = 4_000
+#: Documents whose edges (or runs) are added up together, on average.
+PART_DOCS = 8_000
+#: Entries of a block, about.
+BLOCK = 1 << 18
+#: Tasks (2^n of them) whose blocks share a folder of counts.
+FOLDER_BITS = 2
 LONG, INT, SHORT = pa.int64(), pa.int32(), pa.int16()
 
 
@@ -49,10 +56,6 @@ def hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return K.mix(K.mix((total[end] - total[start]) * down[start]) + (end - start).astype(np.uint64))
 
 
-def doc_key(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return K.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
-
-
 def _fresh(*columns: np.ndarray) -> np.ndarray:
     """Mask of sorted entries that differ from the one before."""
     new = np.ones(len(columns[0]), bool)
@@ -61,12 +64,25 @@ def _fresh(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _sizes(first: np.ndarray, n: int) -> np.ndarray:
-    return np.diff(np.append(np.flatnonzero(first), n))
+def _blocks(parts: Iterator[tuple[np.ndarray, ...]], kinds: list[pa.DataType], block: int) -> Iterator[pa.RecordBatch]:
+    """Columns of entries, in pieces of whole documents, as rows of about ``block`` entries, a list a column."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def row() -> pa.RecordBatch:
+        c = [np.concatenate(x) for x in zip(*held)]
+        return pa.RecordBatch.from_arrays([K.lists(x, np.array([len(x)]), t) for x, t in zip(c, kinds)], [f"c{i}" for i in range(len(kinds))])
 
+    for piece in parts:
+        held.append(piece)
+        if sum(len(p[0]) for p in held) >= block:
+            yield row()
+            held = []
+    if held:
+        yield row()
 
-def _edges(k: int, w: int, parts: int):
-    """mapInArrow body: (doc_id, row, text) to edges, scattered by content.
+
+def _edges(k: int, w: int, block: int):
+    """mapInArrow body: (doc_id, row, text) to blocks of edges, document by document.
 
     Columns: edge, doc_id, row, at (first word), gap (to the next node), back and ahead: a run of words that begins more
     than ``back`` before ``at`` surely holds the edge before this one in all its copies, and one that ends more
@@ -74,9 +90,9 @@ def _edges(k: int, w: int, parts: int):
     the windows inside the run, from the one that first chooses the second node and the one before it, that make it sure.)
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
-            ids, rows, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
+            ids, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, _, raw, off in K.chunks(b.column(2)):
                 words = K.Words(raw, off)
                 h = words.hashes()
@@ -92,48 +108,94 @@ def _edges(k: int, w: int, parts: int):
                 end = at[i + 1] + k
                 back = np.where(first, pos, at[i] - since[i])
                 ahead = np.where(last, words.off[doc[i] + 1] - end, since[np.minimum(i + 2, len(at) - 1)] + w + k - 2 - end)
-                out.append((hashes(h, at[i], end).view(np.int64), ids[doc[i] + lo], rows[doc[i] + lo], pos, gap, back, ahead))
-            if out:
-                c = [np.concatenate(x) for x in zip(*out)]
-                yield K.scatter(c[0].view(np.uint64), parts, [(c[0], LONG), (c[1], LONG), (c[2], INT), (c[3].astype(np.int32), INT), *[(x.astype(np.int16), SHORT) for x in c[4:]]])
+                yield (hashes(h, at[i], end).view(np.int64), ids[doc[i] + lo], rows[doc[i] + lo], pos.astype(np.int32), *[x.astype(np.int16) for x in (gap, back, ahead)])
 
-    return run
+    return lambda batches: _blocks(pieces(batches), [LONG, LONG, INT, INT, SHORT, SHORT, SHORT], block)
 
 
-_EDGES = "part int, c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>, c4 array<short>, c5 array<short>, c6 array<short>"
+_EDGES = "c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>, c4 array<short>, c5 array<short>, c6 array<short>"
 
 
-def _repeated(parts: int):
-    """mapInArrow body: edges by content to those that occur twice, with their number, scattered by document."""
+def _distinct(parts: int):
+    """mapInArrow body: (block, keys) to a block's distinct keys and their numbers, scattered by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in K.groups(batches):
-            c = K.gather(rows, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16])
-            order = np.lexsort((c[3], c[2], c[1], c[0]))
-            c = [x[order] for x in c]
-            one = _fresh(*c[:4])
-            c = [x[one] for x in c]
-            n = _sizes(_fresh(c[0]), len(c[0]))
-            n = np.repeat(n, n)
-            many = n > 1
-            if many.any():
-                c = [x[many] for x in c]
-                yield K.scatter(doc_key(c[1], c[2]), parts, [(x, t) for x, t in zip(c, (LONG, LONG, INT, INT, SHORT, SHORT, SHORT))] + [(n[many].astype(np.int32), INT)])
+        for b in batches:
+            for block, keys in zip(b.column(0).to_pylist(), b.column(1)):
+                key, n = np.unique(keys.values.to_numpy(), return_counts=True)
+                sent = K.scatter(key.view(np.uint64), parts, [(key, LONG), (n.astype(np.int32), INT)])
+                yield sent.append_column("block", pa.array(np.full(sent.num_rows, block)))
 
     return run
 
 
-def _paths(k: int, least: int):
-    """mapInArrow body: repeated edges by document to its regions (hash null) and its paths of ``least`` words or more.
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: scattered keys to (block, keys that occur twice or more in all blocks, how often)."""
+    for rows in K.groups(batches):
+        key, n = K.gather(rows, [np.int64, np.int32])
+        block = np.concatenate([np.repeat(r.column(3).to_numpy(), r.column(1).value_lengths().to_numpy()) for r in rows])
+        order = np.argsort(key, kind="stable")
+        key, block = key[order], block[order]
+        first = np.flatnonzero(_fresh(key))
+        total = np.repeat(np.add.reduceat(n[order].astype(np.int64), first), np.diff(np.append(first, len(key))))
+        many = np.flatnonzero(total > 1)
+        many = many[np.argsort(block[many], kind="stable")]
+        if len(many):
+            own, size = np.unique(block[many], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), K.lists(key[many], size, LONG), K.lists(total[many], size, LONG)], ["block", "keys", "n"])
+
+
+def _repeated(blocks: DataFrame, parts: int, scratch: Scratch) -> str:
+    """The folder of what ``known`` gives for each block: its keys (column c0) that occur twice or more in all blocks."""
+    sent = blocks.select("block", "c0").mapInArrow(_distinct(parts), "part int, c0 array<long>, c1 array<int>, block long")
+    found = by_part(sent, parts).mapInArrow(_add, "block long, keys array<long>, n array<long>")
+    folder = F.shiftright("block", 33 + FOLDER_BITS).cast("int").alias("g")
+    scratch.table(found.select("*", folder).repartition(min(parts, PARTITIONS), "g"), "repeated", by="g")
+    return scratch.kept[-1]
+
+
+@lru_cache(1)
+def _folder(root: str, group: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    t, found = read_group(root, group), {}
+    if t is not None:
+        block, keys, n = t["block"].to_numpy(), t["keys"].combine_chunks(), t["n"].combine_chunks()
+        for b in np.unique(block).tolist():
+            rows = pa.array(np.flatnonzero(block == b))
+            key, count = keys.take(rows).flatten().to_numpy(), n.take(rows).flatten().to_numpy()
+            order = np.argsort(key, kind="stable")
+            found[b] = key[order], count[order]
+    return found
+
+
+def known(root: str, block: int, key: np.ndarray) -> np.ndarray:
+    """How often each key of a block occurs in all blocks; 0 if once."""
+    have, n = _folder(root, block >> (33 + FOLDER_BITS)).get(block, (key[:0], key[:0]))
+    if not len(have):
+        return np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+    return np.where(have[at] == key, n[at], 0)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[list[np.ndarray]]:
+    """Of each block (its number, then columns) the entries whose key occurs twice or more, with their numbers as the last column."""
+    for b in batches:
+        for i, block in enumerate(b.column(0).to_pylist()):
+            c = [x[i].values.to_numpy() for x in b.columns[1:]]
+            n = known(root, block, c[0])
+            many = n > 1
+            if many.any():
+                yield [x[many] for x in [*c, n]]
+
+
+def _paths(k: int, least: int, root: str):
+    """mapInArrow body: blocks of edges to their documents' regions (hash null) and paths of ``least`` words or more.
 
     Out: (hash, n, doc_id, row, a, z), where a and z bound words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in K.groups(batches):
-            c = K.gather(rows, [np.int64, np.int64, np.int32, np.int32, np.int16, np.int16, np.int16, np.int32])
-            order = np.lexsort((c[3], c[2], c[1]))
-            edge, doc, row, at, gap, back, ahead, n = (x[order].astype(np.int64) for x in c)
+        for c in _rows_of(batches, root):
+            edge, doc, row, at, gap, back, ahead, n = (x.astype(np.int64) for x in c)
             apart = _fresh(doc, row)
             apart[1:] |= at[1:] != at[:-1] + gap[:-1]
             end = at + gap + k
@@ -165,12 +227,12 @@ def _reach(n: int, base: np.ndarray, spans: pa.Array) -> np.ndarray:
     return np.maximum.accumulate(reach)
 
 
-def _runs(least: int, parts: int):
-    """mapInArrow body: (doc_id, row, text, regions, sure) to the runs of ``least`` words to be counted, scattered by content."""
+def _runs(least: int, block: int):
+    """mapInArrow body: (doc_id, row, text, regions, sure) to blocks of the runs of ``least`` words to be counted: hash, doc_id, row, at."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
-            ids, rows, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
+            ids, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, hi, raw, off in K.chunks(b.column(2)):
                 words = K.Words(raw, off)
                 h, n = words.hashes(), int(words.off[-1])
@@ -179,40 +241,16 @@ def _runs(least: int, parts: int):
                 at = at[_reach(n, words.off[:-1], b.column(4).slice(lo, hi - lo))[at] < at + least]
                 if len(at):
                     doc = np.searchsorted(words.off, at, "right") - 1
-                    out.append((hashes(h, at, at + least).view(np.int64), ids[doc + lo], rows[doc + lo], (at - words.off[doc]).astype(np.int32)))
-            if out:
-                c = [np.concatenate(x) for x in zip(*out)]
-                yield K.scatter(c[0].view(np.uint64), parts, [(x, t) for x, t in zip(c, (LONG, LONG, INT, INT))])
-
-    return run
-
-
-def _twice(parts: int):
-    """mapInArrow body: runs by content to those that occur twice, scattered by document."""
+                    yield hashes(h, at, at + least).view(np.int64), ids[doc + lo], rows[doc + lo], (at - words.off[doc]).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in K.groups(batches):
-            c = K.gather(rows, [np.int64, np.int64, np.int32, np.int32])
-            order = np.lexsort((c[3], c[2], c[1], c[0]))
-            c = [x[order] for x in c]
-            one = _fresh(*c)
-            c = [x[one] for x in c]
-            n = _sizes(_fresh(c[0]), len(c[0]))
-            many = np.repeat(n > 1, n)
-            if many.any():
-                yield K.scatter(doc_key(c[1][many], c[2][many]), parts, [(c[1][many], LONG), (c[2][many], INT), (c[3][many], INT)])
-
-    return run
+    return lambda batches: _blocks(pieces(batches), [LONG, LONG, INT, INT], block)
 
 
-def _join_runs(least: int):
-    """mapInArrow body: repeated runs by document to the spans (doc_id, row, a, z) that they cover together."""
+def _join_runs(least: int, root: str):
+    """mapInArrow body: blocks of runs to the spans (doc_id, row, a, z) that their repeated ones cover together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in K.groups(batches):
-            doc, row, at = K.gather(rows, [np.int64, np.int32, np.int32])
-            order = np.lexsort((at, row, doc))
-            doc, row, at = doc[order], row[order], at[order]
+        for _, doc, row, at, _ in _rows_of(batches, root):
             new = _fresh(doc, row)
             new[1:] |= at[1:] > at[:-1] + least
             s = np.flatnonzero(new)
@@ -222,17 +260,30 @@ def _join_runs(least: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = GRAM, w: int = WINDOW) -> DataFrame:
+def _once(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text) of the documents with an id, each once; texts are only looked at where an id is repeated."""
+    docs = with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = scratch.table(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return docs
+    rows = docs.join(maybe_broadcast(again), "doc_id").groupBy("doc_id", text_key().alias("x")).agg(F.count("*").alias("n"))
+    twice = scratch.table(rows.filter("n > 1").select("doc_id", "x"), "twice")
+    return without(docs, twice).unionByName(within(docs, twice).dropDuplicates(["doc_id", "text"]))
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = GRAM, w: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): each maximal run of repeated words; ``end_word`` is exclusive."""
     if k + 2 * w - 1 > least:
         raise ValueError("k + 2 w - 1 must not exceed the least length")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     parts = min(GROUPS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_DOCS)))
-    text = with_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), F.lower("text").alias("text"))
-    edges = text.mapInArrow(_edges(k, w, parts), _EDGES)
-    repeated = by_part(edges, parts).mapInArrow(_repeated(parts), _EDGES + ", c7 array<int>")
-    found = scratch.table(by_part(repeated, parts).mapInArrow(_paths(k, least), "hash long, n long, doc_id long, row int, a int, z int"), "paths")
+    docs = _once(docs, scratch)
+    numbered = lambda blocks, name: scratch.table(blocks.withColumn("block", F.monotonically_increasing_id()), name)  # noqa: E731  written, so that a block's number stays
+    row = F.hash("text").alias("row")
+    edges = numbered(docs.select("doc_id", row, F.lower("text").alias("text")).mapInArrow(_edges(k, w, block), _EDGES), "edges")
+    root = _repeated(edges, parts, scratch)
+    found = scratch.table(edges.select("block", *[f"c{i}" for i in range(7)]).mapInArrow(_paths(k, least, root), "hash long, n long, doc_id long, row int, a int, z int"), "paths")
     key = ["doc_id", "row"]
     paths = found.filter("hash IS NOT NULL")
     whole = paths.groupBy("hash", "n").agg(F.count("*").alias("equal")).filter("equal = n").select("hash")
@@ -241,10 +292,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, k: int = GRAM, w: int =
     regions = found.filter("hash IS NULL").groupBy(*key).agg(F.collect_list(F.struct("a", "z")).alias("regions"))
     certain = sure.groupBy(*key).agg(F.collect_list(F.struct("a", "z")).alias("sure"))
     spans = scratch.table(regions.join(certain, key, "left").select(*key, "regions", F.coalesce("sure", F.array().cast("array<struct<a:int,z:int>>")).alias("sure")), "spans")
-    reread = attach(docs.select("doc_id", "text"), spans.withColumnRenamed("row", "x"), F.hash("text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), F.lower("text").alias("text"), "regions", "sure")
-    runs = reread.mapInArrow(_runs(least, parts), "part int, c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>")
-    twice = by_part(runs, parts).mapInArrow(_twice(parts), "part int, c0 array<long>, c1 array<int>, c2 array<int>")
-    read = by_part(twice, parts).mapInArrow(_join_runs(least), "doc_id long, row int, a int, z int")
+    reread = attach(docs, spans.withColumnRenamed("row", "x"), F.hash("text")).select("doc_id", row, F.lower("text").alias("text"), "regions", "sure")
+    runs = numbered(reread.mapInArrow(_runs(least, block), "c0 array<long>, c1 array<long>, c2 array<int>, c3 array<int>"), "runs")
+    root = _repeated(runs, parts, scratch)
+    read = runs.select("block", *[f"c{i}" for i in range(4)]).mapInArrow(_join_runs(least, root), "doc_id long, row int, a int, z int")
     order = Window.partitionBy(*key).orderBy("a", "z")
     reached = F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = read.unionByName(sure).withColumn("new", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))

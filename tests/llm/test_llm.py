@@ -658,10 +658,31 @@ def test_spans_by_brute_force(make, seed):
         assert got == brute_spans(rows, least)
 
 
+@pytest.mark.parametrize("block", [1, 60, 1 << 18])
+def test_spans_whatever_a_block_holds(make, block):
+    """One passage in every document, in blocks of a document each and in larger ones; brute force tells the spans."""
+    shared = [prose(3000 + i, 70) for i in range(3)]
+    rows = [(i, prose(4000 + i, 5 + i % 40) + " " + shared[0] + " " + shared[i % 3] + " " + prose(5000 + i, 30)) for i in range(50)]
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substrings.repeated_spans(make(rows).repartition(5), block=block).collect()}
+    assert got == brute_spans(rows, 50)
+
+
+def test_a_key_of_every_document_is_an_entry_a_block():
+    """The most that one task gets of a hot edge is the number of blocks, not that of documents."""
+    rng = np.random.default_rng(0)
+    keys = [np.concatenate([np.full(500, 7, np.int64), rng.integers(1 << 62, size=100)]) for _ in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13]), kernels.lists(np.concatenate(keys), np.full(4, 600), pa.int64())], ["block", "c0"])
+    sent = [r.slice(i, 1) for r in substrings._distinct(1)(iter([batch])) for i in range(r.num_rows)]
+    assert sum(r.column(1).flatten().to_pylist().count(7) for r in sent) == 4
+    back = list(substrings._add(iter(sent)))
+    assert [r.to_pydict() for r in back] == [{"block": [10, 11, 12, 13], "keys": [[7]] * 4, "n": [[2000]] * 4}]
+
+
 def test_repeated_rows_are_one_document(make):
     t = prose(1, 80)
     assert substrings.repeated_spans(make([(1, t), (1, t)])).count() == 0
     assert substrings.repeated_spans(make([(1, t), (2, t), (1, t)])).count() == 2
+    assert substrings.repeated_spans(make([(1, t), (1, "other " + t), (1, t)])).count() == 2  # two texts of one id
 
 
 # --- 9 language
