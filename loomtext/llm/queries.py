@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.ORACLE,
     "op2_chat_format": chat.ORACLE,
     "op5_licence_scan": licences.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,

@@ -178,11 +178,11 @@ def _routed(docs: DataFrame, listed: DataFrame, x: F.Column, size: int) -> F.Col
     groups = max(1, -(-size // max(1, ROUTE_BYTES)))
     where = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(groups)).cast("int")
     try:
-        placed = docs.select(own.alias("doc_id"), where.alias("g")).distinct()
+        placed = docs.select(own.alias("doc_id"), where.alias("g"))
     except AnalysisException:
         return None
     scratch = Scratch(docs.sparkSession, "routed")
-    sent = placed.join(listed.hint("shuffle_hash"), "doc_id").repartition(min(groups, PARTITIONS), "g")
+    sent = placed.join(listed.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "x", "g"]).repartition(min(groups, PARTITIONS), "g")
     scratch.table(sent.select("doc_id", "x", *[f.name for f in rest], "g"), "listed", by="g")
     if not rest:
         return F.arrow_udf(_look_up(scratch.kept[-1], None), "boolean")(where, own, x)
