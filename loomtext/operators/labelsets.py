@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 PLACEHOLDERS = ("unknown_topic", "new_label")
 
 
@@ -47,19 +49,20 @@ def label_ids(rows: DataFrame, value: str = "label") -> DataFrame:
 
 
 def hash_order(*columns: str, seed: int = 42) -> list[Column]:
-    """A repeatable shuffle: order by a seeded hash, then by the columns themselves."""
-    return [F.xxhash64(*columns, F.lit(seed)), *[F.col(c) for c in columns]]
+    """A repeatable shuffle: order by a seeded digest (which SQL has, too), then by the columns themselves."""
+    return [F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))).cast("binary")), *[F.col(c) for c in columns]]
 
 
 def chunks(rows: DataFrame, size: int, value: str = "input", pos: str = "doc_id", order: list[Column] | None = None) -> DataFrame:
     """(chunk_id, ids, items): successive rows by ``size``, in ``order`` (by ``pos`` if none).
 
-    Ranks come from a range-partitioned sort and per-partition counts; the whole table is never in one task.
+    Ranks come from a range-partitioned sort and per-partition counts; the whole table is never in one task.  The sorted
+    table is written once, so that a row keeps its number between the two uses.
     """
     order = order or [F.col(pos)]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
-    spread = spread.persist()  # ids must not change between the two uses
+    spread = written(spread.select("_m", pos, value), "chunks")
     counts = spread.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row a partition
     at = spread.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("_r", F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1))

@@ -39,7 +39,8 @@ def diversity(counts: DataFrame) -> DataFrame:
 def imbalance(counts: DataFrame) -> DataFrame:
     """One row: max_label_n, min_label_n, ratio, is_imbalanced, n_singletons, singletons (five), avg_per_label."""
     one = F.when(F.col("n") == 1, F.col("label"))
-    row = counts.agg(F.max("n").alias("max_label_n"), F.min("n").alias("min_label_n"), F.count(one).alias("n_singletons"), F.slice(F.array_sort(F.collect_list(one)), 1, 5).alias("singletons"), F.bround(F.avg("n"), 2).alias("avg_per_label"))
+    five = counts.filter("n = 1").orderBy("label").limit(5).agg(F.array_sort(F.collect_list("label")).alias("singletons"))
+    row = counts.agg(F.max("n").alias("max_label_n"), F.min("n").alias("min_label_n"), F.count(one).alias("n_singletons"), F.bround(F.avg("n"), 2).alias("avg_per_label")).crossJoin(F.broadcast(five))
     ratio = F.bround(safe_div(F.col("max_label_n").cast("double"), F.col("min_label_n")), 2)
     return row.select("max_label_n", "min_label_n", ratio.alias("ratio"), (ratio >= IMBALANCED).alias("is_imbalanced"), "n_singletons", "singletons", "avg_per_label")
 

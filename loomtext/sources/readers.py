@@ -123,7 +123,11 @@ def load_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_predictions(spark: SparkSession, run_dir: str) -> DataFrame:
-    """(bucket, label, input) rows of a run's label -> texts map; the full result is preferred to the partial one."""
+    """(bucket, label, input) rows of a run's label -> texts map; the full result is preferred to the partial one.
+
+    A map is one JSON object, as the runs of other tools leave it, and is parsed as one.  The results of this library (a folder
+    ``classifications`` of {label, texts} lines) are read in parallel; their buckets are numbered by label.
+    """
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     for name in ("classifications_full.json", "classifications.json"):
         p = jpath(f"{run_dir}/{name}")
@@ -131,6 +135,11 @@ def load_predictions(spark: SparkSession, run_dir: str) -> DataFrame:
             whole = spark.read.text(f"{run_dir}/{name}", wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
             entries = whole.select(F.posexplode(F.map_entries("m")).alias("bucket", "e"))
             return entries.select("bucket", F.col("e.key").alias("label"), F.explode("e.value").alias("input"))
+    p = jpath(f"{run_dir}/classifications")
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        lines = spark.read.schema("label string, texts array<string>").json(f"{run_dir}/classifications")
+        number = lines.select("label").distinct().withColumn("bucket", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))  # label-sized
+        return lines.join(number, "label").select("bucket", "label", F.explode("texts").alias("input"))
     raise FileNotFoundError(f"no classifications in {run_dir}")
 
 
