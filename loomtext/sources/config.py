@@ -10,22 +10,33 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class Settings:
-    llm_provider: str = "offline"
+    llm_provider: str = "auto"  # offline, chat, responses; auto: by llm_base_url
     llm_model: str = ""
     llm_base_url: str = ""
     llm_force_json: bool = False
     llm_request_delay: float = 2.0
+    llm_retry_wait: float = 20.0
     llm_max_tokens: int = 4096
     llm_attempts: int = 5
-    embedding_model: str = "hashed-tfidf"
+    embedding_model: str = "hashed"  # or module:factory of an object with encode(texts)
     embedding_batch: int = 64
     kmedoids_k: int = 100
     gmm_k: int = 100
+    gmm_covariance_type: str = "tied"
+    reduction: str = "none"
+    pca_dims: int = 50
     k0: int = 300
     k_min: int = 5
     k_max: int = 50
+    k_method: str = "silhouette"
+    cluster_method: str = "kmedoids"
     label_chunk: int = 30
     classify_batch: int = 20
+    hybrid_p: float = 0.1
+    hybrid_k_max: int = 50
+    graph_knn: int = 15
+    graph_min_similarity: float = 0.3
+    graph_resolution: float = 1.0
     seed: int = 42
 
 
