@@ -71,7 +71,10 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 
 def matching(table: DataFrame) -> tuple[dict, int, int]:
-    """({pred: truth} of the best one-to-one matching, rows it agrees on, all rows).  The table is label-sized."""
+    """({pred: truth} of the best one-to-one matching, rows it agrees on, all rows).  The table is label-sized.
+
+    Of equally good matchings the one that best keeps the order of both sides is taken: the greatest sum of products of ranks.
+    """
     cells = table.toPandas()
     if cells.empty:
         return {}, 0, 0
@@ -81,7 +84,10 @@ def matching(table: DataFrame) -> tuple[dict, int, int]:
     p, t = {x: i for i, x in enumerate(preds)}, {x: i for i, x in enumerate(truths)}
     for r in cells.itertuples():
         w[p[r.pred], t[r.truth]] = r.n
-    to = hungarian(w.max() - w)
+    order = np.zeros((d, d))
+    order[: len(preds), : len(truths)] = np.outer(np.arange(1, len(preds) + 1), np.arange(1, len(truths) + 1))
+    ranked = w * (d**3 + 1) + order if w.max() * (d**3 + 1) < 2**50 else w
+    to = hungarian(ranked.max() - ranked)
     agree = int(w[np.arange(d), to].sum())
     return {preds[i]: truths[j] for i, j in enumerate(to) if i < len(preds) and j < len(truths)}, agree, int(w.sum())
 

@@ -6,6 +6,7 @@ id, so that no comparison hangs on a fit.  Documents are labelled by their langu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..functions import vectors as V
 from ..operators import embedding, gmm, graph, kmeans, kmedoids, knn, kselect, labelling, labelsets, metrics, profile
 from ..operators import providers as P
 from ..operators import representatives as R
-from ..sources import readers, sinks
+from ..sources import readers, scratch, sinks
 from . import cache, pipelines
 
 DIM = 64
@@ -128,12 +129,24 @@ def metric_purity(spark, sf):
     return metrics.purity(contingency(spark, sf)).select(six("purity").alias("purity"))
 
 
-@query()
+#: The best one-to-one matching of predictions (i) and classes (j) by dynamic programming over the sets of classes used; of
+#: equal ones the one of the greatest sum of products of ranks.
+_MATCH = f"""{PTS}, {MED}, {NEAR}, {CON}, ps AS (SELECT pred, row_number() OVER (ORDER BY pred) - 1 AS i FROM (SELECT DISTINCT pred FROM c)),
+ ts AS (SELECT truth, row_number() OVER (ORDER BY truth) - 1 AS j FROM (SELECT DISTINCT truth FROM c)), w AS (SELECT i, j, n FROM c JOIN ps USING (pred) JOIN ts USING (truth)),
+ js AS (SELECT j, CASE WHEN j < (SELECT count(*) FROM ts) THEN j + 1 ELSE 0 END AS r FROM (SELECT unnest(range(greatest((SELECT count(*) FROM ps), (SELECT count(*) FROM ts)))) AS j)),
+ dp AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS total, CAST([] AS BIGINT[]) AS took UNION ALL
+  SELECT dp.i + 1, dp.mask | (CAST(1 AS BIGINT) << CAST(js.j AS INTEGER)), CAST(max(dp.total + 1000000 * coalesce(w.n, 0) + js.r * (dp.i + 1)) AS BIGINT), arg_max(list_append(dp.took, js.j), dp.total + 1000000 * coalesce(w.n, 0) + js.r * (dp.i + 1))
+  FROM dp CROSS JOIN js LEFT JOIN w ON w.i = dp.i AND w.j = js.j
+  WHERE dp.mask & (CAST(1 AS BIGINT) << CAST(js.j AS INTEGER)) = 0 AND dp.i < (SELECT count(*) FROM ps) GROUP BY 1, 2),
+ best AS (SELECT max(total) AS total, arg_max(took, total) AS took FROM dp WHERE i = (SELECT count(*) FROM ps))"""
+
+
+@query(f"WITH RECURSIVE {_MATCH} SELECT round((total // 1000000) / (SELECT CAST(sum(n) AS DOUBLE) FROM c), 6) AS acc FROM best")
 def metric_acc(spark, sf):
     return spark.createDataFrame([(round(metrics.accuracy(contingency(spark, sf)), 6),)], "acc double")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MATCH} SELECT truth, pred, CAST(j AS INTEGER) AS truth_pos, CAST(took[i + 1] AS INTEGER) AS pred_pos, n FROM c JOIN ps USING (pred) JOIN ts USING (truth) CROSS JOIN best")
 def confusion_aligned(spark, sf):
     return metrics.aligned_confusion(contingency(spark, sf))
 
@@ -171,6 +184,12 @@ def l2_normalise_check(spark, sf):
     return u.select("id", six(V.norm(F.col("u"))).alias("norm"), six(F.col("u")[0]).alias("first"))
 
 
+@query(f"WITH {PTS} SELECT id, CAST(unnest(range({DIM})) AS INTEGER) AS pos, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM p")
+def l2_components(spark, sf):
+    """Every component of every unit vector."""
+    return points(spark, sf).select("id", F.posexplode(V.l2_normalise(F.col("v"))).alias("pos", "x")).withColumn("x", six("x"))
+
+
 @query(f"""WITH {PTS}, s AS (SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, round(list_distance(a.v, b.v), 6) AS euclidean FROM p a JOIN p b ON a.id < b.id AND b.id < 200)
 SELECT src, dst, cosine, euclidean FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cosine DESC, dst) AS r FROM s) WHERE r <= 3""")
 def cosine_pairs_topk(spark, sf):
@@ -228,6 +247,36 @@ def louvain_communities(spark, sf):
     return graph.local_moving(points(spark, sf).select("id"), _edges(spark, sf))
 
 
+def _gainful(spark, sf, local_edges: int) -> DataFrame:
+    """(n_nodes, n_gainful): nodes that would gain by a move to a neighbour's community, in the partition that is found."""
+    found = graph.local_moving(points(spark, sf).select("id"), _edges(spark, sf), local_edges=local_edges)
+    a, at = knn.symmetrise(_edges(spark, sf)).filter("src <> dst"), found.select("id", F.col("community").alias("own"))
+    k = a.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    total = at.join(k, "id").groupBy("own").agg(F.sum("k").alias("t"))
+    to = a.join(at.select(F.col("id").alias("dst"), F.col("own").alias("target")), "dst").groupBy(F.col("src").alias("id"), "target").agg(F.sum("weight").alias("w"))
+    own = to.withColumnsRenamed({"target": "own", "w": "w_own"})
+    moves = to.join(at, "id").filter("target <> own").join(own, ["id", "own"], "left").fillna(0.0, ["w_own"]).join(k, "id").join(total.toDF("own", "t_own"), "own").join(total.toDF("target", "t_new"), "target")
+    m2 = a.agg(F.sum("weight").alias("m2"))
+    g = graph.gain(F.col("w"), F.col("w_own"), F.col("k"), F.col("t_new"), F.col("t_own"), F.col("m2"))
+    gainful = moves.crossJoin(F.broadcast(m2)).filter(g > 1e-9).agg(F.countDistinct("id").alias("n_gainful"))
+    return found.agg(F.count("*").alias("n_nodes")).crossJoin(gainful)
+
+
+_NO_GAIN = "SELECT count(*) AS n_nodes, CAST(0 AS BIGINT) AS n_gainful FROM embeddings"
+
+
+@query(_NO_GAIN)
+def louvain_no_gain(spark, sf):
+    """What local moving ends at: no node gains by a move, by the gain formula over the found partition."""
+    return _gainful(spark, sf, graph.LOCAL_EDGES)
+
+
+@query(_NO_GAIN)
+def louvain_no_gain_parallel(spark, sf):
+    """The same of the moves by hashed halves, which large graphs take."""
+    return _gainful(spark, sf, 0)
+
+
 @query()
 def community_search(spark, sf):
     found, gamma = graph.communities(points(spark, sf).select("id"), _edges(spark, sf).persist(), target_k=40, steps=8)
@@ -409,12 +458,12 @@ def sample_per_group(spark, sf):
     return labelsets.sample_per_group(table(spark, sf, "documents").select("doc_id", "source"), "source", 8, "doc_id", None)
 
 
-@query()
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '/42'), doc_id) AS r FROM documents) WHERE r <= 8")
 def sample_members_hashed(spark, sf):
     return labelsets.sample_per_group(table(spark, sf, "documents").select("doc_id", "source"), "source", 8, "doc_id")
 
 
-@query()
+@query("WITH k AS (SELECT DISTINCT source AS label FROM documents) SELECT label FROM (SELECT label, row_number() OVER (ORDER BY md5(label || '/42'), label) AS r FROM k) WHERE r <= (SELECT CAST(floor(0.2::DOUBLE * count(*)) AS BIGINT) FROM k)")
 def seed_label_sample(spark, sf):
     return labelsets.seed_labels(documents(spark, sf, "source"))
 
@@ -425,6 +474,32 @@ def malformed_json_filter(spark, sf):
     return e.filter("ok")
 
 
+#: The line that ``tolerant_reader`` has for each document: every fifth is broken, every seventh blank, every third lacks a field.
+_LINES = """l AS (SELECT row_number() OVER (ORDER BY doc_id) AS line_no, doc_id, lang FROM documents WHERE doc_id IS NOT NULL)
+SELECT line_no, CASE WHEN doc_id % 3 = 1 THEN '' ELSE 'text ' || doc_id END AS input, CASE WHEN doc_id % 3 = 2 THEN '<MISSING>' ELSE lang END AS label FROM l WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0"""
+
+
+@query(f"WITH {_LINES}")
+def tolerant_reader(spark, sf):
+    """The tolerant reader over a JSONL file with broken and blank lines and lines without a field."""
+    d, i = table(spark, sf, "documents").filter("doc_id IS NOT NULL"), F.col("doc_id")
+    whole = F.to_json(F.struct(F.when(i % 3 != 1, F.concat(F.lit("text "), i.cast("string"))).alias("input"), F.when(i % 3 != 2, F.col("lang")).alias("label")))
+    line = F.when(i % 5 == 0, F.concat(F.lit('{"input": '), i.cast("string"))).when(i % 7 == 0, F.lit("  ")).otherwise(whole)
+    path = f"{scratch.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    d.select("doc_id", line.alias("value")).coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
+    return readers.load_tolerant(spark, path).select("line_no", "input", "label")
+
+
+_NAMES = [*readers.DOMAINS, "of_no_list"]
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(_NAMES)} " + " ".join(f"WHEN {i} THEN '{readers.DOMAINS.get(n, readers.GENERIC_DOMAIN)}'" for i, n in enumerate(_NAMES)) + " END AS description FROM documents")
+def described_collections(spark, sf):
+    """Every known collection's description, and the generic one, by the collection's name."""
+    named = table(spark, sf, "documents").select("doc_id", F.array(*[F.lit(n) for n in _NAMES])[(F.col("doc_id") % len(_NAMES)).cast("int")].alias("dataset"))
+    return readers.with_description(named).select("doc_id", "description")
+
+
 @query("SELECT doc_id, 'short texts of one collection' AS description FROM documents")
 def described_documents(spark, sf):
     return readers.with_description(table(spark, sf, "documents"), "source").select("doc_id", "description")
@@ -472,9 +547,15 @@ def batch_answer_match(spark, sf):
     return table(spark, sf, "documents").select("doc_id", responses.match_label_col(answer, F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])).alias("label"))
 
 
-@query()
+_AMONG = ("the", "les", "der", "los")
+
+
+@query(r"""WITH t AS (SELECT doc_id, coalesce(lower(text), '') AS low FROM documents), f AS (SELECT doc_id, low, regexp_extract_all(low, '\pL{3,}') AS w FROM t),
+ s AS (SELECT doc_id, l.label, l.pos, CAST(l.label <> 'the' AND list_contains(w, l.label) AS INTEGER) + CAST(contains(low, l.label) AS INTEGER) / CAST(1 + greatest(length(low) - 2, 1) AS DOUBLE) AS score
+  FROM f CROSS JOIN (VALUES ('the', 0), ('les', 1), ('der', 2), ('los', 3)) l(label, pos))
+SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM s) WHERE r = 1""")
 def classify_batched(spark, sf):
-    return labelling.classify(documents(spark, sf), ["the", "les", "der", "los"], size=10)
+    return labelling.classify(documents(spark, sf), list(_AMONG), size=10)
 
 
 @query()
@@ -505,6 +586,21 @@ def kmedoids_fit(spark, sf):
     return kmedoids.fit(points(spark, sf), 10).assignments
 
 
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_not_nearest, CAST(0 AS BIGINT) AS n_better_medoids FROM embeddings")
+def kmedoids_fixed_point(spark, sf):
+    """What the fit ends at: each row is with its nearest medoid, and no member of a cluster costs less than its medoid."""
+    p = points(spark, sf).select("id", "v")
+    f = kmedoids.fit(p, 10)
+    m = spark.createDataFrame(list(enumerate(f.medoids)), "cluster_id int, id long")
+    assigned = p.join(f.assignments.select("id", F.col("cluster_id").alias("own")), "id")
+    d = assigned.crossJoin(F.broadcast(m.join(p, "id").select("cluster_id", F.col("v").alias("m")))).select("id", "own", "cluster_id", V.cosine_distance(F.col("v"), F.col("m")).alias("d"))
+    near = d.groupBy("id").agg(F.min("d").alias("least"), F.min(F.when(F.col("own") == F.col("cluster_id"), F.col("d"))).alias("mine"))
+    pairs = assigned.alias("a").join(assigned.alias("b"), F.col("a.own") == F.col("b.own")).groupBy(F.col("a.own").alias("cluster_id"), F.col("a.id").alias("id")).agg(F.sum(V.cosine_distance(F.col("a.v"), F.col("b.v"))).alias("cost"))
+    at = pairs.join(F.broadcast(m.select("cluster_id", F.col("id").alias("medoid"))), "cluster_id").groupBy("cluster_id").agg(F.min("cost").alias("least"), F.min(F.when(F.col("id") == F.col("medoid"), F.col("cost"))).alias("mine"))
+    worse = (F.col("mine").isNull() | (F.col("mine") > F.col("least") + 1e-6)).cast("long")
+    return near.agg(F.count("*").alias("n_rows"), F.sum(worse).alias("n_not_nearest")).crossJoin(at.agg(F.sum(worse).alias("n_better_medoids")))
+
+
 @query()
 def gmm_fit(spark, sf):
     p = points(spark, sf)
@@ -521,12 +617,20 @@ def pca_scores(spark, sf):
     return embedding.pca(points(spark, sf), 5)[0].select("id", *[six(F.col("v")[i]).alias(f"s{i}") for i in range(5)])
 
 
-@query()
+@query(f"""WITH {PTS}, e AS (SELECT unnest(v) AS x, unnest(range({DIM})) AS i FROM p) SELECT CAST(count(DISTINCT i) AS INTEGER) AS components, round(sum(v), 4) AS total FROM (SELECT i, var_samp(x) AS v FROM e GROUP BY i)""")
+def pca_total_variance(spark, sf):
+    """All components together have the variance of the vectors."""
+    scores = embedding.pca(points(spark, sf), DIM)[0]
+    return scores.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v")).agg(F.count("*").cast("int").alias("components"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\pL\pN]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def tfidf_vectors(spark, sf):
-    return embedding.tfidf(documents(spark, sf), 256).select("doc_id", six(V.norm(F.col("v"))).alias("norm"))
+    norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x))
+    return embedding.tfidf(documents(spark, sf), 256).select("doc_id", six(norm).alias("norm"))
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\pL\pN_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def embed_texts(spark, sf):
     return embedding.embed(documents(spark, sf)).select("doc_id", six(V.norm(F.col("v"))).alias("norm"))
 
