@@ -35,9 +35,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.  What a stage and those before it wrote is deleted once its own result is there."""
+    docs, older = spark.read.parquet(f"{sf_dir}/documents.parquet"), list(Scratch.live)
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        made = Scratch(spark, f"pipeline-{name}")
+        docs = made.table(stage(spark, docs, sf_dir), name)
+        for scratch in [s for s in Scratch.live if s is not made and s not in older]:
+            scratch.drop()
     return docs
