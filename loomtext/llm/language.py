@@ -70,29 +70,35 @@ class Network:
     out: np.ndarray
     out_bias: np.ndarray
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """For each width, response tables of successive pairs of classes (and of a last single class)."""
+    def tables(self) -> list[tuple[int, int, np.ndarray]]:
+        """(offset in a filter, first column, responses) for the pairs of classes at each even offset, and a single class at the end.
+
+        Filters of several widths have their responses to one pair side by side, so that one look-up serves them all.
+        """
+        one = [[self.embed @ f[j * DIM : (j + 1) * DIM] for j in range(w)] for w, f in zip(WIDTHS, self.filters)]
         found = []
-        for w, f in zip(WIDTHS, self.filters):
-            one = [self.embed @ f[j * DIM : (j + 1) * DIM] for j in range(w)]
-            pairs = [(one[j][:, None] + one[j + 1][None]).reshape(-1, FILTERS).astype(np.float32) for j in range(0, w - 1, 2)]
-            found.append(pairs + ([one[-1].astype(np.float32)] if w % 2 else []))
-        return found
+        for o in range(0, max(WIDTHS) - 1, 2):
+            use = [t for t, w in zip(one, WIDTHS) if w >= o + 2]  # the widest
+            found.append((o, (len(WIDTHS) - len(use)) * FILTERS, np.concatenate([(t[o][:, None] + t[o + 1][None]).reshape(-1, FILTERS) for t in use], axis=1).astype(np.float32)))
+        return found + [(w - 1, i * FILTERS, t[-1].astype(np.float32)) for i, (t, w) in enumerate(zip(one, WIDTHS)) if w % 2]
 
-    def logits(self, x: np.ndarray, tables: list[list[np.ndarray]] | None = None) -> np.ndarray:
+    def logits(self, x: np.ndarray, tables: list[tuple[int, int, np.ndarray]] | None = None) -> np.ndarray:
         """Log-probabilities (windows, languages)."""
         tables = tables or self.tables()
         pooled = np.empty((len(x), len(WIDTHS) * FILTERS), np.float32)
-        for lo in range(0, len(x), 64):  # small enough for the cache
-            part = x[lo : lo + 64]
-            pair = part[:, :-1].astype(np.int32) * CLASSES + part[:, 1:]
-            for i, (w, table) in enumerate(zip(WIDTHS, tables)):
-                m = WINDOW - w + 1
-                a = None
-                for j, t in enumerate(table):
-                    r = t.take(pair[:, 2 * j : 2 * j + m] if len(t) > CLASSES else part[:, 2 * j : 2 * j + m], axis=0)
-                    a = r if a is None else np.add(a, r, out=a)
-                pooled[lo : lo + 64, i * FILTERS : (i + 1) * FILTERS] = a.max(axis=1)
+        full = WINDOW - max(WIDTHS) + 1
+        for lo in range(0, len(x), 16):  # small enough for the cache
+            part = x[lo : lo + 16].astype(np.intp)
+            pair = part[:, :-1] * CLASSES + part[:, 1:]
+            a = tables[0][2].take(pair, axis=0, mode="clip")
+            for o, c, t in tables[1:]:
+                at = (pair if len(t) > CLASSES else part)[:, o:]
+                a[:, : at.shape[1], c : c + t.shape[1]] += t.take(at, axis=0, mode="clip")
+            best = pooled[lo : lo + 16]
+            a[:, :full].max(axis=1, out=best)
+            for i, w in enumerate(WIDTHS[:-1]):  # where only narrower filters fit
+                own = slice(i * FILTERS, (i + 1) * FILTERS)
+                np.maximum(best[:, own], a[:, full : WINDOW - w + 1, own].max(axis=1), out=best[:, own])
         z = np.tanh(pooled + self.bias) @ self.out + self.out_bias
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -144,13 +150,15 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Network | None:
 
     The rows are those whose hashed id falls under a threshold, so that a scan sends on no more than it needs.
     """
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 1).alias("h"))
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.filter("lang IS NOT NULL").select("lang", "doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 1).alias("h"), "text")
+    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # reads no text
     names, total = sorted(count), sum(count.values())
     if not names:
         return None
     below = min(1.0, 1.5 * train_rows / total) * (2**63 - 1)
-    rows = known.filter(F.col("h") <= F.lit(min(int(below), 2**63 - 1))).orderBy("h", "text").limit(train_rows).toPandas()
+    rows = known.filter((F.col("h") <= F.lit(min(int(below), 2**63 - 1))) & F.col("text").isNotNull()).orderBy("h", "text").limit(train_rows).toPandas()
+    if not len(rows):
+        return None
     data = [t.encode() for t in rows["text"]]
     off = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
     x, n = windows(np.frombuffer(b"".join(data), np.uint8), off)
