@@ -410,6 +410,52 @@ def test_urls_of_pages_whose_hosts_were_never_seen(spark, sf):
     assert np.mean([blocked for h, blocked in got if h in spam]) >= 0.9 and np.mean([blocked for h, blocked in got if h not in spam]) <= 0.02
 
 
+def test_url_scores_by_brute_force(spark, sf):
+    """The whole query with plain integers: every 3- to 5-gram of host and path, its slot, and the logistic of the mean weights."""
+    top = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & top
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & top
+        return h ^ (h >> 31)
+
+    weights, bias = urls.model()
+
+    def score(url):
+        rest = re.sub(r"^//([^/?#]*@)?(www\.|m\.|blog\.)?", "", re.sub(r"^[a-z][a-z0-9+.\-]*:", "", url.lower()))
+        host, path = re.match(r"([^/?#]*)(.*)", rest, re.S).groups()
+        z = bias
+        for salt, part in ((1, f"^{host}$"), (2, f"{path}$")):
+            h, own = [mix(b + 1000 * salt) for b in part.encode()], []
+            for n in urls.SIZES:
+                for i in range(len(h) - n + 1):
+                    g = h[i]
+                    for x in h[i + 1 : i + n]:
+                        g = (g * int(kernels._BASE) + x) & top
+                    own.append(weights[(mix(g) >> (64 - urls.SLOT_BITS)) + ((salt - 1) << urls.SLOT_BITS)])
+            z += urls.SCALE * sum(own) / max(1, len(own))
+        return 1 / (1 + np.exp(-z))
+
+    got = urls.op4_url_filter(spark, sf).collect()
+    assert len(got) > 100
+    for r in got:
+        assert r["spam_score"] == pytest.approx(score(r["url"]), abs=1e-9) and r["blocked"] == (r["spam_score"] >= 0.5)
+
+
+def test_the_url_model_is_at_its_least_loss():
+    """No step along the gradient of the regularised log-loss lowers it any more by much."""
+    rows = urls.labelled()
+    w, b = urls.fit(rows)
+    y = np.array([v for _, v in rows])
+
+    def loss(weights, bias):
+        p = np.clip(urls.score(pa.array([u for u, _ in rows]), weights, bias), 1e-12, 1 - 1e-12)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + urls.L2 / 2 * (weights**2).sum()
+
+    at = loss(w, b)
+    assert at < 0.25 and all(loss(w * c, b) > at - 0.002 for c in (0.9, 1.1)) and all(loss(w, b + d) > at - 0.002 for d in (-0.2, 0.2))
+
+
 def test_urls_by_a_table_of_labels(spark):
     known = spark.createDataFrame([(f"http://{h}{i}.example.org/", y) for h, y in (("zebra", 1), ("meadow", 0)) for i in range(20)] + [(None, 1), ("x", None)], "url string, label int")
     pages = spark.createDataFrame([(1, "http://zebra-shop.example.com/"), (2, "http://old-meadow.example.com/"), (2, "http://old-meadow.example.com/"), (3, None), (4, "http://meadow.example.com/" + "meadow/" * 20_000)], "page_id long, url string")
@@ -709,6 +755,27 @@ def test_convolution_tables_by_brute_force():
     assert np.allclose(net.logits(x), z, atol=1e-3)
 
 
+def test_languages_by_brute_force(spark, make):
+    """The whole operator by plain loops: windows, responses, maxima, softmax, sums over a document's windows."""
+    rng = np.random.default_rng(3)
+    net = language.train(rng.integers(0, 64, (8, language.WINDOW)).astype(np.uint8), np.arange(8) % 3, ["a", "b", "c"], epochs=1)
+    rows = [(1, ""), (2, None), (3, "Ünïcödé, 12 words!"), (4, prose(1, 30)), (5, prose(2, 45)), (6, prose(3, 200)), (7, "x" * language.WINDOW), (8, "x" * (language.WINDOW + 1))]
+    got = {r["doc_id"]: (r["language"], r["confidence"]) for r in language.identify(make(rows), net).collect()}
+    for i, t in rows:
+        codes, start, total, n = [int(language.ALPHABET[c]) for c in (t or "").encode()], 0, np.zeros(3), 0
+        while True:
+            x = codes[start : start + language.WINDOW]
+            x = net.embed[x + [0] * (language.WINDOW - len(x))]
+            best = np.concatenate([np.max([x[at : at + w].ravel() @ f for at in range(language.WINDOW - w + 1)], axis=0) for w, f in zip(language.WIDTHS, net.filters)])
+            z = np.tanh(best + net.bias) @ net.out + net.out_bias
+            total, n = total + z - np.log(np.exp(z).sum()), n + 1
+            if start + language.WINDOW >= len(codes):
+                break
+            start += language.STEP
+        p = np.exp(total / n - (total / n).max())
+        assert got[i] == (net.names[int(total.argmax())], pytest.approx(float((p / p.sum()).max()), abs=1e-4))
+
+
 def test_windows_cover_whole_texts():
     texts = [b"", b"a" * 10, b"b" * 256, b"c" * 257, b"d" * 2000]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -821,3 +888,20 @@ def test_pipeline_of_odd_and_no_documents(spark, sf, make):
 
 def test_run_is_the_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "chunk_no", "n_tokens", "bin_id", "slot"]
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    import os
+    from urllib.parse import urlparse
+
+    folder = urlparse(runtime.shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"pipeline-best_fit_packing"}
+
+
+def test_sizes_are_measured_in_bytes(spark):
+    rows = [(1, "abc", [1, 2], [(1, 2)]), (2, None, None, [])]
+    df = spark.createDataFrame(rows, "a long, t string, l array<long>, s array<struct<a:int,z:int>>")
+    assert runtime.bytes_of(df) == 2 * 8 + (3 + 8) + 8 + (16 + 16) + 16 + (16 + 16) + 16
+    assert runtime.bytes_of(df.filter("false")) == 0
