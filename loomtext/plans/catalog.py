@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import responses
+from ..functions import prompts, responses
 from ..functions import vectors as V
 from ..operators import embedding, gmm, graph, kmeans, kmedoids, knn, kselect, labelling, labelsets, metrics, profile
 from ..operators import providers as P
@@ -564,10 +564,19 @@ def discover_and_consolidate(spark, sf):
     return spark.createDataFrame(list(enumerate(labelling.consolidate(found, 10, P.OfflineProvider()))), "pos int, label string")
 
 
-@query()
-def provider_usage(spark, sf):
-    from ..functions import prompts
+def _usage_sql() -> str:
+    """Calls and characters of one prompt a document, whose answer names the most frequent (longest, last) of its telling words."""
+    frame = len(prompts.one_word_labels([""]))
+    stop = ", ".join(f"'{w}'" for w in sorted(P.STOP_WORDS))
+    escaped = " + ".join(f"(length(t) - length(replace(t, chr({c}), '')))" for c in (8, 9, 10, 12, 13, 34, 92))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '\\pL{{3,}}')) AS w FROM d),
+ c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w NOT IN ({stop}) GROUP BY 1, 2), b AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(w) DESC, w DESC) AS r FROM c) WHERE r = 1)
+SELECT count(*) AS calls, CAST(0 AS BIGINT) AS failures, CAST(sum({frame} + length(t) + {escaped}) AS BIGINT) AS n_in, CAST(sum(length('{{"1": ""}}') + length(coalesce(w, 'other'))) AS BIGINT) AS n_out,
+ CAST(0 AS BIGINT) AS tokens_in, CAST(0 AS BIGINT) AS tokens_out FROM d LEFT JOIN b USING (doc_id)"""
 
+
+@query(_usage_sql())
+def provider_usage(spark, sf):
     make = F.pandas_udf(lambda t: t.map(lambda x: [prompts.one_word_labels([w]) for w in labelling.windows(x)]), "array<string>")
     asked = documents(spark, sf).select("doc_id", F.posexplode(make("input")).alias("part", "prompt"))
     return P.usage(P.ask(asked.select(F.xxhash64("doc_id", "part").alias("request_id"), "prompt")))
