@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .runtime import Scratch
@@ -20,7 +20,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         near = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("least"))
         lower = labels.join(near, "v").select("v", "label", F.least("label", "least").alias("next"))
         over = labels.select(F.col("v").alias("next"), F.col("label").alias("jump"))
-        after = scratch.table(lower.join(over, "next", "left").select("v", F.least("next", "jump").alias("label"), (F.least("next", "jump") < F.col("label")).alias("moved")), "labels")
-        if not after.filter("moved").limit(1).count():
+        after, moved = lower.join(over, "next", "left").select("v", "label", F.least("next", "jump").alias("lower")), Observation()
+        found = scratch.table(after.observe(moved, F.coalesce(F.max(F.col("lower") < F.col("label")), F.lit(False)).alias("any")).select("v", F.col("lower").alias("label")), "labels")
+        if not moved.get["any"]:
             return labels
-        labels = after.select("v", "label")
+        labels = found

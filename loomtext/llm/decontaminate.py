@@ -107,8 +107,8 @@ def _passages(docs: DataFrame, items: DataFrame, k: int, w: int, filter_hashes:
     scratch = Scratch(docs.sparkSession, "passages")
     test = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("id"), text_key().alias("x"), F.lower("text").alias("text")).distinct()
     prints = scratch.table(test.mapInArrow(_fingerprints(k, w), _FP), "items")
-    spread = lambda t: t.select("id", "x", F.explode(F.arrays_zip("pos", "hash")).alias("p")).select("id", "x", "p.pos", "p.hash")
-    keys = spread(prints).toDF("item_id", "item_x", "item_pos", "hash")
+    entries = lambda t: t.select("id", "x", F.explode(F.arrays_zip("pos", "hash")).alias("p")).select("id", "x", "p.pos", "p.hash")
+    keys = entries(prints).toDF("item_id", "item_x", "item_pos", "hash")
     n = prints.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0)).alias("n")).first()["n"]
     only = None
     if n <= filter_hashes:
@@ -117,7 +117,7 @@ def _passages(docs: DataFrame, items: DataFrame, k: int, w: int, filter_hashes:
     # Positions are joined without texts, which then come to the pairs that have met
     prints_of = _keyed(docs).mapInArrow(_fingerprints(k, w, only), _FP)
     hits = scratch.table(prints_of, "hits") if only is not None else prints_of
-    met = spread(hits).join(maybe_broadcast(keys), "hash")
+    met = entries(hits).join(maybe_broadcast(keys), "hash")
     pairs = scratch.table(met.groupBy("id", "x", "item_id", "item_x").agg(F.collect_set(F.struct("pos", "item_pos")).alias("at")), "pairs")
     whole = hits if only is not None else _keyed(within(docs, pairs.select(F.col("id").alias("doc_id"), "x")))
     pairs = pairs.join(whole.select("id", "x", "text"), ["id", "x"])

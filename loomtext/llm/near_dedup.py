@@ -306,11 +306,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     # Nodes become documents again; the smallest of a group stays, and twins follow the first of them
     own = F.struct("doc_id", "x")
     grouped = scratch.table(signed.select("node", "doc_id", "x").join(maybe_broadcast(group.select(F.col("v").alias("node"), "label")), "node"), "grouped")
-    best = scratch.table(grouped.groupBy("label").agg(F.min(own).alias("best")), "best")
-    placed = scratch.table(grouped.join(maybe_broadcast(best.select("label", "best.doc_id", "best.x").toDF("label", "keep_id", "keep_x")), "label").select("node", "doc_id", "x", "keep_id", "keep_x"), "placed")
+    best = grouped.groupBy("label").agg(F.min(own).alias("best")).select("label", "best.doc_id", "best.x").toDF("label", "keep_id", "keep_x")
+    placed = scratch.table(grouped.join(best, "label").select("node", "doc_id", "x", "keep_id", "keep_x"), "placed")
     over = placed.select(F.col("node").alias("first"), "keep_id", "keep_x")
     follow = twin.select("doc_id", "x", F.col("lead.node").alias("first"), F.col("lead.doc_id").alias("lead_id"), F.col("lead.x").alias("lead_x"))
-    follow = follow.join(maybe_broadcast(over), "first", "left").select("doc_id", "x", F.coalesce("keep_id", "lead_id").alias("keep_id"), F.coalesce("keep_x", "lead_x").alias("keep_x"))
+    follow = follow.join(over, "first", "left").select("doc_id", "x", F.coalesce("keep_id", "lead_id").alias("keep_id"), F.coalesce("keep_x", "lead_x").alias("keep_x"))
     found = placed.drop("node").unionByName(follow).filter("doc_id <> keep_id OR x <> keep_x")
     return scratch.table(found.select("doc_id", "x", "keep_id").distinct(), "found")
 
