@@ -1,9 +1,9 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
 Each partition of documents becomes sorted runs of (SHA-256 digest, doc_id), one for each range of digests.
-In rounds, ``FAN`` neighbouring runs of a range meet (three binomial rounds at once), are merged, and of each
+In rounds, 32 neighbouring runs of a range meet (five binomial rounds at once), are merged, and of each
 digest only the smallest id goes on; the ids that lost are set down with the id that beat them.  Ranges are
-merged independently, so no task ever holds more than one range, and their number grows with the input.
+merged independently, so no task ever holds more than one range, and their number grows with the input up to ``RANGES``.
 After the last round the chains loser -> winner -> ... are as long as the tree is high and are followed by joins.
 A link of a chain is an id together with the hash of its text, so that an id of several texts links no two of them.
 
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .runtime import Scratch, maybe_broadcast, text_key, with_ids, without
 
-FAN_BITS = 3
+FAN_BITS = 5
 #: Documents of a digest range at the root of its tree, on average.
 RANGE_ROWS = 250_000
+#: Most ranges: more would leave a task's runs a document or two each.  With more documents, ranges grow.
+RANGES = 1 << 14
 #: x: hash of the text; n: rows of the document.
 _SCHEMA = "range int, run long, digests binary, ids array<long>, xs array<long>, ns array<int>, lost array<struct<doc_id:long,x:long,n:int,keep_id:long>>"
 _LOST = pa.list_(pa.struct([("doc_id", pa.int64()), ("x", pa.int64()), ("n", pa.int32()), ("keep_id", pa.int64())]))
@@ -112,7 +114,7 @@ def copies(docs: DataFrame, fan_bits: int = FAN_BITS, range_rows: int = RANGE_RO
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     rows = with_ids(docs).filter(F.col("text").isNotNull())
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // range_rows))
+    ranges = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // range_rows)))
     flat = rows.select(F.spark_partition_id().cast("long").alias("run"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("x"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     levels = [scratch.table(flat.mapInArrow(_runs(ranges), _SCHEMA), "run")]
     runs = (levels[0].agg(F.max("run").alias("m")).first()["m"] or 0) + 1
