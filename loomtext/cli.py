@@ -59,7 +59,7 @@ def _labelled(spark: SparkSession, run: str) -> DataFrame:
 
 def _store(spark: SparkSession, run: str, docs: DataFrame, found: pipelines.Result, more: dict) -> dict:
     """Writes a result's table, texts, labels and scores; returns what ``results.json`` holds."""
-    found.labelled.select("doc_id", "label").write.mode("overwrite").parquet(f"{run}/labelled")
+    sinks.write_table(found.labelled.select("doc_id", "label"), f"{run}/labelled")
     sinks.write_classifications(_labelled(spark, run).join(docs.select("doc_id", "input"), "doc_id"), f"{run}/classifications")
     sinks.write_object(spark, f"{run}/labels.json", found.labels)
     results = {**more, "k": found.k, **found.info, **found.scores, "run_dir": run}
