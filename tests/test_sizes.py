@@ -1,9 +1,12 @@
 """What larger or odd tables showed: results that must not depend on the size of a table or a text."""
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 from conftest import rows
 
+from loomtext.operators import knn
 from loomtext.plans import catalog
 
 
@@ -23,3 +26,33 @@ def texts(*given):
 def test_usage_counts_one_prompt_a_document(spark, tmp_path):
     got, want = against_sql(spark, "provider_usage", tmp_path, documents=texts("alpha beta " * 12_000, "gamma", None))
     assert got == want
+
+
+def vectors(n, seed=0, d=64, same=0):
+    rng = np.random.default_rng(seed)
+    x = (rng.normal(0, 1, (10, d))[rng.integers(0, 10, n)] + rng.normal(0, 0.8, (n, d))).astype(np.float32)
+    x[n - same :] = x[0]  # equal vectors, whose similarities tie
+    return pd.DataFrame({"vec_id": rng.permutation(n), "embedding": list(x), "label": rng.integers(0, 4, n).astype(np.int32)})
+
+
+@pytest.mark.parametrize("name", ["cosine_pairs_topk_all", "knn_graph"])
+def test_neighbours_by_blocks_agree_with_sql(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(knn, "TILE", (70, 90))
+    made = knn.tops
+    monkeypatch.setattr(knn, "tops", lambda *a, **kw: made(*a, **kw | {"held": 1, "block": 64 * 150}))
+    table = vectors(700, same=40)
+    table.at[5, "embedding"] = None if name == "cosine_pairs_topk_all" else table.at[5, "embedding"]
+    got, want = against_sql(spark, name, tmp_path, embeddings=table)
+    assert got == want
+
+
+def test_neighbours_take_memory_of_a_tile(monkeypatch):
+    """No array of a row for each query and a column for each candidate; equal vectors don't make all pairs candidates."""
+    x, ids = np.ones((6_000, 4)), np.arange(6_000)
+    import tracemalloc
+
+    tracemalloc.start()
+    found = knn.nearest(ids, x, ids, x, 3, 0.3)
+    assert tracemalloc.get_traced_memory()[1] < 150e6  # the product with all rows took several arrays of this size and more
+    tracemalloc.stop()
+    assert found.column("dst").to_pylist()[:6] == [1, 2, 3, 0, 2, 3] and found.num_rows == 18_000
