@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .knn import matrix, units
 
 #: Rows up to which a fit runs on one distance matrix in one process.
 LOCAL_ROWS = 5_000
@@ -113,20 +115,21 @@ def medoid_update(members: DataFrame, metric: str = "cosine") -> DataFrame:
 
 
 def _draw(chosen: np.ndarray, metric: str):
-    """mapInPandas body: of each batch of (id, v, h) the row drawn with probability proportional to its squared distance to the
+    """mapInArrow body: of each batch of (id, v, h) the row drawn with probability proportional to its squared distance to the
     chosen.  ``h`` is a seeded hash; the least -log(u) / weight wins, here and then over all batches.  Rows of no weight come
     last (``none``), drawn evenly.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if len(p):
-                w = distances(np.stack(p["v"].to_numpy()).astype(float), chosen, metric).min(axis=1) ** 2 if len(chosen) else np.ones(len(p))
-                key = -np.log((((p["h"].to_numpy().view(np.uint64)) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if b.num_rows:
+                ids, h = b.column("id").to_numpy(), b.column("h").to_numpy()
+                w = distances(matrix([b]), chosen, metric).min(axis=1) ** 2 if len(chosen) else np.ones(len(ids))
+                key = -np.log(((h.view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53)
                 none = w <= 0
                 key = np.where(none, key, key / np.where(none, 1, w))
-                i = np.lexsort((p["id"], key, none))[0]
-                yield pd.DataFrame({"id": [p["id"].iloc[i]], "v": [p["v"].iloc[i]], "none": [bool(none[i])], "key": [key[i]]})
+                i = int(np.lexsort((ids, key, none))[0])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 1), b.column("v").slice(i, 1), pa.array([bool(none[i])]), pa.array([key[i]])], ["id", "v", "none", "key"])
 
     return run
 
@@ -137,7 +140,7 @@ def seed_distributed(data: DataFrame, k: int, metric: str, seed: int) -> list[in
     at: list[list[float]] = []
     while len(ids) < k:
         rest = data.filter(~F.col("id").isin(ids)) if ids else data
-        drawn = rest.select("id", "v", F.xxhash64("id", F.lit(seed), F.lit(len(ids))).alias("h")).mapInPandas(_draw(np.array(at, float), metric), "id long, v array<double>, none boolean, key double")
+        drawn = rest.select("id", "v", F.xxhash64("id", F.lit(seed), F.lit(len(ids))).alias("h")).mapInArrow(_draw(np.array(at, float), metric), "id long, v array<double>, none boolean, key double")
         row = drawn.orderBy("none", "key", "id").first()
         if row is None:
             break
@@ -146,6 +149,62 @@ def seed_distributed(data: DataFrame, k: int, metric: str, seed: int) -> list[in
     return ids
 
 
+def _sums(medoids: np.ndarray):
+    """mapInArrow body: of each batch of (id, v) the rows, the sum of distances and of unit vectors of each cluster."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, cost = np.zeros_like(medoids), np.zeros(len(medoids)), 0.0
+        for b in parts:
+            if b.num_rows:
+                x = matrix([b])
+                d = distances(x, medoids)
+                at = d.argmin(axis=1)
+                member = np.zeros_like(d)
+                member[np.arange(len(x)), at] = 1
+                total, n, cost = total + member.T @ units(x), n + member.sum(axis=0), cost + float(d.min(axis=1).sum())
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([n.tobytes()]), pa.array([cost])], ["total", "n", "cost"])
+
+    return run
+
+
+def _cheapest(medoids: np.ndarray, total: np.ndarray, n: np.ndarray):
+    """mapInArrow body: of each batch of (id, v) the member of each cluster with the least cost, n - u . sum(u), as in ``medoid_update``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean = total / np.maximum(n, 1)[:, None]
+        for b in parts:
+            if b.num_rows:
+                x, ids = matrix([b]), b.column("id").to_numpy()
+                at = distances(x, medoids).argmin(axis=1)
+                cost = np.round(n[at] * (1 - np.einsum("ij,ij->i", units(x), mean[at])), 10)
+                o = np.lexsort((ids, cost, at))
+                o = o[np.concatenate([[True], np.diff(at[o]) > 0])]
+                yield pa.RecordBatch.from_arrays([pa.array(at[o].astype(np.int32)), pa.array(cost[o]), pa.array(ids[o]), b.column("v").take(pa.array(o))], ["cluster_id", "cost", "id", "v"])
+
+    return run
+
+
+def _fit_cosine(data: DataFrame, ids: list[int], max_iter: int) -> Fit:
+    """Alternation in two passes over (id, v) a round; a partition sends fixed sums and then a row a cluster."""
+    at = {r["id"]: r["v"] for r in data.filter(F.col("id").isin(ids)).collect()}
+    ids = [i for i in ids if i in at]
+    medoids = np.array([at[i] for i in ids], float)
+    for it in range(1, max_iter + 1):
+        parts = data.mapInArrow(_sums(medoids), "total binary, n binary, cost double").collect()
+        total = np.sum([np.frombuffer(r["total"]) for r in parts], axis=0).reshape(medoids.shape)
+        n, inertia = np.sum([np.frombuffer(r["n"]) for r in parts], axis=0), float(sum(r["cost"] for r in parts))
+        best = data.mapInArrow(_cheapest(medoids, total, n), "cluster_id int, cost double, id long, v array<double>")
+        new, x = list(ids), medoids.copy()
+        for r in best.groupBy("cluster_id").agg(F.min(F.struct("cost", "id", "v")).alias("b")).collect():  # k rows
+            new[r["cluster_id"]], x[r["cluster_id"]] = r["b"]["id"], r["b"]["v"]
+        if set(new) == set(ids):
+            break
+        ids, medoids = new, x
+    placed = data.mapInPandas(_assign(medoids, "cosine"), "id long, v array<double>, cluster_id int, distance double")
+    return Fit(placed.select("id", "cluster_id"), ids, inertia, it)
+
+
 def fit(points: DataFrame, k: int, metric: str = "cosine", seed: int = 42, max_iter: int = 300, local_rows: int = LOCAL_ROWS) -> Fit:
     """K-Medoids of (id, v); k at or above the rows makes each its own cluster."""
     spark = points.sparkSession
@@ -160,6 +219,8 @@ def fit(points: DataFrame, k: int, metric: str = "cosine", seed: int = 42, max_i
         return Fit(found, rows["id"].to_numpy()[medoids].tolist(), inertia, it)
     data = data.cache()
     ids = seed_distributed(data, k, metric, seed)
+    if metric == "cosine":
+        return _fit_cosine(data, ids, max_iter)
     for it in range(1, max_iter + 1):
         at = {r["id"]: r["v"] for r in data.filter(F.col("id").isin(ids)).collect()}
         ids = [i for i in ids if i in at]

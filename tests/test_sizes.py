@@ -1,12 +1,16 @@
 """What larger or odd tables showed: results that must not depend on the size of a table or a text."""
 
+import re
+
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
-from loomtext.operators import knn
+from loomtext.operators import embedding, gmm, graph, kmedoids, knn, labelling, metrics
 from loomtext.plans import catalog
 
 
@@ -56,3 +60,105 @@ def test_neighbours_take_memory_of_a_tile(monkeypatch):
     assert tracemalloc.get_traced_memory()[1] < 150e6  # the product with all rows took several arrays of this size and more
     tracemalloc.stop()
     assert found.column("dst").to_pylist()[:6] == [1, 2, 3, 0, 2, 3] and found.num_rows == 18_000
+
+
+def test_the_search_for_communities_is_whole(spark, tmp_path, monkeypatch):
+    """All steps are taken, over a graph that is never collected."""
+    vectors(300).to_parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+    made = graph.communities
+    monkeypatch.setattr(graph, "communities", lambda *a, **kw: seen.append(kw.get("steps", 30)) or made(*a, **kw))
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", lambda self: 1 / 0)
+    found = catalog.community_search(spark, str(tmp_path))
+    assert seen == [30] and found.agg(F.sum("n")).first()[0] <= 300 and 0.1 < found.first()["resolution"] < 10
+
+
+def test_local_moving_by_hand():
+    """Against the plain form: each node in seeded order to the community of its greatest gain, the smallest number of equal ones."""
+    rng = np.random.default_rng(3)
+    n = 60
+    w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.15), 1)
+    w = w + w.T
+    at, order = np.arange(n), np.random.RandomState(5)
+    degree, two_m = w.sum(axis=1), w.sum()
+    for _ in range(50):
+        before = at.copy()
+        for i in order.permutation(n):
+            if not w[i].any():
+                continue
+            own, near = at[i], np.unique(at[w[i] > 0])
+            to = lambda c: w[i][at == c].sum()
+            gains = [0.0 if c == own else to(c) - to(own) - degree[i] * (degree[at == c].sum() - degree[at == own].sum() + degree[i]) / two_m for c in near]
+            if max(gains) > 1e-12:
+                at[i] = near[int(np.argmax(gains))]
+        if (at == before).all():
+            break
+    r, c = np.nonzero(w)
+    assert graph._Graph(r, c, w[r, c], n).moved(1.0, 5).tolist() == np.unique(at, return_inverse=True)[1].tolist()
+
+
+def test_medoids_are_checked_without_pairs(spark, tmp_path):
+    vectors(300).to_parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.kmedoids_fixed_point(spark, str(tmp_path))
+    assert not re.search(r"\(own#\d+ = own#\d+\)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert tuple(found.first()) == (300, 0, 0)
+
+
+def test_medoids_of_many_rows_take_no_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kmedoids, "medoid_update", lambda *a: 1 / 0)
+    table = vectors(400)
+    p = spark.createDataFrame(pd.DataFrame({"id": table["vec_id"], "v": [x.tolist() for x in table["embedding"]]}))
+    f = kmedoids.fit(p, 5, local_rows=1)
+    at = f.assignments.toPandas().set_index("id")["cluster_id"]
+    order = table.set_index("vec_id").loc[at.index]
+    d = kmedoids.distances(x := np.stack(order["embedding"]).astype(float), x)
+    for c, m in enumerate(f.medoids):
+        own = np.flatnonzero(at.to_numpy() == c)
+        costs = d[np.ix_(own, own)].sum(axis=1)
+        assert costs[list(at.index[own]).index(m)] <= costs.min() + 1e-8
+    assert f.inertia == pytest.approx(d[:, [list(at.index).index(m) for m in f.medoids]].min(axis=1).sum(), abs=1e-6)
+
+
+def test_the_sink_s_query_brings_lengths_together(spark, tmp_path, monkeypatch):
+    seen, made = [], catalog.sinks.classifications
+    monkeypatch.setattr(catalog.sinks, "classifications", lambda d: seen.append(d) or made(d))
+    got, want = against_sql(spark, "classifications_sink", tmp_path, documents=texts("a" * 500, None, "", "b"))
+    assert got == want and max(len(r["input"] or "") for r in seen[0].collect()) == 3
+
+
+def test_discovery_sends_labels_alone(spark, monkeypatch):
+    seen, made = [], type(spark.range(1)).toLocalIterator
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda self, *a: seen.append(self.columns) or made(self, *a))
+    docs = spark.createDataFrame([(i, f"{'apple' if i < 9 else 'berry'} text{i % 3}") for i in range(20)], "doc_id long, input string")
+    at_once = labelling.discover_labels(docs, size=4, sequential=False)
+    assert seen == [["label"]] and at_once == labelling.discover_labels(docs, size=4)
+
+
+def test_calls_of_an_embedder_are_bounded():
+    b = pa.RecordBatch.from_pydict({"doc_id": range(6), "input": ["a" * 300_000, "b" * 300_000, None, "c" * 900_000, "d", "e"]})
+    got = [c.column(0).to_pylist() for c in embedding._calls(b, 64)]
+    assert got == [[0], [1, 2], [3], [4, 5]] and [c.num_rows for c in embedding._calls(b.slice(4), 1)] == [1, 1]
+
+
+def test_tied_mixtures_by_components():
+    rng = np.random.default_rng(1)
+    x, m, a = rng.normal(size=(50, 4)), rng.normal(size=(7, 4)), rng.normal(size=(4, 4))
+    cov = a @ a.T + np.eye(4)
+    want = [[-0.5 * (r - c) @ np.linalg.inv(cov) @ (r - c) - 0.5 * np.linalg.slogdet(2 * np.pi * cov)[1] - np.log(7) for c in m] for r in x]
+    assert np.allclose(gmm.Mixture("tied", np.full(7, 1 / 7), m, cov).log_joint(x), want)
+
+
+def test_hard_assignments_have_no_number_a_component(spark):
+    p = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(30)], "id long, v array<double>")
+    model = gmm.fit(p, 2, n_init=1, max_iter=3)
+    soft, hard = gmm.predict(p, model), gmm.predict(p, model, probs=False)
+    assert hard.columns == ["id", "cluster_id"] and rows(hard.toPandas()) == rows(soft.select("id", "cluster_id").toPandas())
+
+
+def test_silhouette_by_blocks_agrees_with_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(metrics, "TILE", (40, 60))
+    made = metrics._silhouette
+    monkeypatch.setattr(metrics, "_silhouette", lambda p, metric, held: made(p, metric, 0))
+    monkeypatch.setattr(metrics, "grid", lambda *a: knn.grid(*a, block=64 * 100))
+    got, want = against_sql(spark, "silhouette_euclidean", tmp_path, embeddings=vectors(400))
+    assert got == want
