@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .knn import TILE, grid, matrix, numbers
 
 
 def contingency(pairs: DataFrame, true: str = "truth", pred: str = "pred") -> DataFrame:
@@ -109,7 +112,7 @@ def scores(pairs: DataFrame, true: str = "truth", pred: str = "pred") -> dict[st
 
 
 #: Numbers that every task may hold for the pairwise silhouette; beyond it, the pairs are joined.
-HELD = 25_000_000
+HELD = 1_000_000
 
 
 def _value(a: Column, b: Column) -> Column:
@@ -153,15 +156,45 @@ def _held(points: DataFrame, metric: str) -> DataFrame:
     return rows.select("id", F.nullif("a", F.lit(float("nan"))).alias("a"), F.nullif("b", F.lit(float("nan"))).alias("b"))
 
 
-def _silhouette(points: DataFrame, gap: Column, metric: str, held: int) -> DataFrame:
-    """Mean silhouette from all pairs' ``gap`` between columns v (of a) and w (of b)."""
+def _by_blocks(points: DataFrame, n: int, d: int, metric: str) -> DataFrame:
+    """(id, cluster_id, cluster2, d): each row's mean distance to the others of each cluster, from all pairs, two blocks a task."""
+    kind = points.schema["cluster_id"].dataType.simpleString()
+
+    def work(one: list[pa.RecordBatch], other: list[pa.RecordBatch] | None) -> Iterator[pa.RecordBatch]:
+        from .kmedoids import distances
+
+        form = one[0].schema.field("cluster_id").type
+        sides = [(numbers(s, "id"), matrix(s), numbers(s, "cluster_id")) for s in (one, other or one)]
+        for (ids, x, own), (ids2, y, theirs) in ((sides[0], sides[1]), (sides[1], sides[0]))[: 2 if other else 1]:
+            codes, at = np.unique(theirs, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            ids2, y, at = ids2[order], y[order], at[order]
+            for i in range(0, len(x), TILE[0]):
+                total = np.zeros((len(x[i : i + TILE[0]]), len(codes)))
+                for j in range(0, len(y), TILE[1]):
+                    gaps = distances(x[i : i + TILE[0]], y[j : j + TILE[1]], metric)
+                    if other is None:
+                        gaps[ids[i : i + TILE[0], None] == ids2[None, j : j + TILE[1]]] = 0
+                    part = at[j : j + TILE[1]]
+                    first = np.flatnonzero(np.diff(part, prepend=-1))
+                    total[:, part[first]] += np.add.reduceat(gaps, first, axis=1)
+                k = len(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + TILE[0]], k)), pa.array(np.repeat(own[i : i + TILE[0]], k), form), pa.array(np.tile(codes, len(total)), form), pa.array(total.ravel())], ["id", "cluster_id", "cluster2", "s"])
+
+    sums = grid(points, n, d, work, f"id long, cluster_id {kind}, cluster2 {kind}, s double").groupBy("id", "cluster_id", "cluster2").agg(F.sum("s").alias("s"))
+    sizes = points.groupBy(F.col("cluster_id").alias("cluster2")).agg(F.count("*").alias("n2"))
+    others = F.col("n2") - (F.col("cluster_id") == F.col("cluster2")).cast("long")
+    return sums.join(sizes, "cluster2").select("id", "cluster_id", "cluster2", F.when(others > 0, F.col("s") / others).alias("d"))
+
+
+def _silhouette(points: DataFrame, metric: str, held: int) -> DataFrame:
+    """Mean silhouette from all pairs."""
     points = points.select(F.col("id").cast("long").alias("id"), "cluster_id", F.col("v").cast("array<double>").alias("v"))
     size = points.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     if size["n"] and size["n"] * size["d"] <= held:
         s = _held(points, metric)
     else:
-        other = points.select(F.col("id").alias("id2"), F.col("cluster_id").alias("cluster2"), F.col("v").alias("w"))
-        per = points.crossJoin(other).filter("id <> id2").groupBy("id", "cluster_id", "cluster2").agg(F.avg(gap).alias("d"))
+        per = _by_blocks(points, size["n"], size["d"] or 1, metric)
         own = F.min(F.when(F.col("cluster_id") == F.col("cluster2"), F.col("d")))
         near = F.min(F.when(F.col("cluster_id") != F.col("cluster2"), F.col("d")))
         s = per.groupBy("id").agg(own.alias("a"), near.alias("b"))
@@ -172,14 +205,14 @@ def _silhouette(points: DataFrame, gap: Column, metric: str, held: int) -> DataF
 def silhouette_euclidean(points: DataFrame, held: int = HELD) -> DataFrame:
     """One row ``silhouette`` of (id, cluster_id, v array<double>): exact, from all pairs.
 
-    Pairs grow with the square of the rows: use it on at most some thousands (``sample_rows``); beyond, the cosine
-    form below needs one pass.
+    Pairs grow with the square of the rows, memory doesn't: beyond ``held`` numbers a task holds two blocks.  The cosine form below
+    needs one pass.
     """
-    return _silhouette(points, V.euclidean(F.col("v"), F.col("w")), "euclidean", held)
+    return _silhouette(points, "euclidean", held)
 
 
 def silhouette_cosine_pairs(points: DataFrame, held: int = HELD) -> DataFrame:
-    return _silhouette(points, V.cosine_distance(F.col("v"), F.col("w")), "cosine", held)
+    return _silhouette(points, "cosine", held)
 
 
 def silhouette_cosine(points: DataFrame, dim: int) -> DataFrame:
