@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from conftest import rows
 
-from loomtext.operators import embedding, gmm, graph, kmedoids, knn, labelling, metrics
+from loomtext.operators import embedding, gmm, graph, kmedoids, knn, labelling, metrics, providers
 from loomtext.plans import catalog
 
 
@@ -162,3 +162,21 @@ def test_silhouette_by_blocks_agrees_with_sql(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(metrics, "grid", lambda *a: knn.grid(*a, block=64 * 100))
     got, want = against_sql(spark, "silhouette_euclidean", tmp_path, embeddings=vectors(400))
     assert got == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_merging_by_all_pairs(seed, monkeypatch):
+    """Against a sorted list of all pairs; ties are many."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(providers, "NEAREST", int(rng.integers(1, 5)))
+    n, k = 60, int(rng.integers(1, 30))
+    labels = list(dict.fromkeys("".join(rng.choice(list("abcd"), rng.integers(1, 8))) + " " + rng.choice(["red", "blue", ""]) for _ in range(n)))
+    monkeypatch.setattr(providers, "_overlaps", lambda x: 1 / 0)  # the list of all pairs
+    pairs = sorted((-providers._overlap(labels[i], labels[j]), i, j) for i in range(len(labels)) for j in range(i + 1, len(labels)))
+    alive = set(range(len(labels)))
+    for _, i, j in pairs:
+        if i in alive and j in alive:
+            alive.discard(j if providers.survivor(labels[i], labels[j]) == labels[i] else i)
+            if len(alive) <= k:
+                break
+    assert providers.merge_closest(labels, k) == [labels[i] for i in sorted(alive)]
