@@ -62,6 +62,43 @@ def test_neighbours_take_memory_of_a_tile(monkeypatch):
     assert found.column("dst").to_pylist()[:6] == [1, 2, 3, 0, 2, 3] and found.num_rows == 18_000
 
 
+def test_neighbours_by_products_in_single_precision(monkeypatch):
+    """Pairs that single precision can't tell apart are multiplied in double, and no other: the whole product in double isn't formed."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    x[300:420] = x[300] + 1e-9 * rng.normal(size=(120, 16))  # similarities of 1 - 1e-17 up to rounding
+    x[420:700] = x[420] + 1e-3 * rng.normal(size=(280, 16))  # ... that differ by 1e-7
+    ids, u = np.arange(900) * 3, knn.units(x)
+    sim = np.round(u @ u.T, 10)
+    np.fill_diagonal(sim, -np.inf)
+    want = [ids[np.lexsort((ids, -row))[:5]].tolist() for row in sim]
+    monkeypatch.setattr(knn, "TILE", (100, 150))
+    found = knn.nearest(ids, x, ids, x, 5, -1.0, 10)
+    assert found.num_rows == 4_500 and np.array(found.column("dst")).reshape(-1, 5).tolist() == want
+    half, one, other = 300, knn.Tops(300, 5, -1.0, 10), knn.Tops(300, 5, -1.0, 10)
+    monkeypatch.setattr(knn.Tops, "add", lambda *a: 1 / 0)
+    knn._meet(ids[:half], u[:half], ids[:half] + 9_000, far := knn.units(rng.normal(size=(half, 16))), one, other, False)
+    for best, sim in ((one, u[:half] @ far.T), (other, far @ u[:half].T)):
+        got = np.array(best.edges(np.arange(half), np.arange(half)).column("dst")).reshape(-1, 5)
+        assert got.tolist() == [np.lexsort((np.arange(half), -row))[:5].tolist() for row in np.round(sim, 10)]
+
+
+def test_a_graph_that_comes_sorted_is_not_copied(monkeypatch):
+    import tracemalloc
+
+    n, near = 60_000, 20
+    src = np.repeat(np.arange(n, dtype=np.int32), near)
+    dst = ((src + np.tile(np.arange(1, near + 1, dtype=np.int32), n)) % n).reshape(n, near)
+    dst.sort(axis=1)
+    w = np.ones(n * near)
+    monkeypatch.setattr(np, "lexsort", lambda *a: 1 / 0)
+    tracemalloc.start()
+    g = graph._Graph(src, dst.ravel(), w, n)
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # an order and sorted copies of three arrays took 60 MB
+    tracemalloc.stop()
+    assert g.w is w and g.first[:3] == [0, 20, 40] and g.degree[0] == 20.0
+
+
 def test_the_search_for_communities_is_whole(spark, tmp_path, monkeypatch):
     """All steps are taken, over a graph that is never collected."""
     vectors(300).to_parquet(f"{tmp_path}/embeddings.parquet")
