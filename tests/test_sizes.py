@@ -156,6 +156,21 @@ def test_medoids_of_many_rows_take_no_join(spark, tmp_path, monkeypatch):
     assert f.inertia == pytest.approx(d[:, [list(at.index).index(m) for m in f.medoids]].min(axis=1).sum(), abs=1e-6)
 
 
+def test_medoids_are_found_over_blocks_of_bytes(spark, monkeypatch):
+    """Passes read vectors as bytes, a few numbers a block, and draw by the hash that Spark gives."""
+    ids = [0, 1, -5, 2**62, 51_281]
+    for seed, number in ((42, 0), (42, 19), (-3, 2)):
+        want = spark.createDataFrame([(i,) for i in ids], "id long").select(F.xxhash64("id", F.lit(seed), F.lit(number))).collect()
+        assert kmedoids._hashes(np.array(ids), seed, number).view(np.int64).tolist() == [r[0] for r in want]
+    monkeypatch.setattr(kmedoids, "PACKED", 30)
+    p = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(57)], "id long, v array<double>")
+    blocks = kmedoids.packed(p)
+    assert blocks.dtypes == [("ids", "binary"), ("vs", "binary")]
+    found = [(i, v) for r in blocks.collect() for i, v in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["vs"]).reshape(-1, 3).tolist())]
+    assert sorted(found) == [(i, [float(i), 1.0, 0.5]) for i in range(57)]
+    assert {i: v.tolist() for i, v in kmedoids._vectors_of(blocks, [3, 56]).items()} == {3: [3.0, 1.0, 0.5], 56: [56.0, 1.0, 0.5]}
+
+
 def test_the_sink_s_query_brings_lengths_together(spark, tmp_path, monkeypatch):
     seen, made = [], catalog.sinks.classifications
     monkeypatch.setattr(catalog.sinks, "classifications", lambda d: seen.append(d) or made(d))
